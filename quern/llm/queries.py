@@ -23,7 +23,7 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    judged = sitetree.judge_pages(_table(spark, sf_dir, "pages"))
+    judged = sitetree.judge_pages(_table(spark, sf_dir, "pages"), keys=True)
     rows = judged.select(
         "loaded",
         F.col("page_id").alias("id"),
