@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import canonical, sitetree
+from . import canonical, langid, sitetree
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,8 +45,16 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sitetree.judge_pages(_table(spark, sf_dir, "pages")).where("stuffed").select("page_id")
 
 
+def _langcodes(spark: SparkSession, sf_dir: str) -> list[tuple[str, str]]:
+    return [(r.lang, r.lang_name) for r in _table(spark, sf_dir, "langcodes").select("lang", "lang_name").distinct().collect()]  # the languages there are
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.mislabelled(langid.assign_languages(_table(spark, sf_dir, "documents"), _langcodes(spark, sf_dir)))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p3_found, p6_found, p7_found)}
+    return {f.__name__: f for f in (p1_found, p3_found, p6_found, p7_found, p10_found)}
 
 
 def oracle_sql() -> dict[str, str]:
