@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import canonical, langid, leakage, sitetree
+from . import canonical, langid, leakage, packing, sitetree
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,13 +53,17 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.mislabelled(langid.assign_languages(_table(spark, sf_dir, "documents"), _langcodes(spark, sf_dir)))
 
 
+def p8_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(packing.token_sizes(_table(spark, sf_dir, "documents")), _table(spark, sf_dir, "capacities"))
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     leaks = leakage.find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     return leaks.where(F.col("run") >= leakage.RUN).select("doc_id", "item_id")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p3_found, p6_found, p7_found, p9_found, p10_found)}
+    return {f.__name__: f for f in (p1_found, p3_found, p6_found, p7_found, p8_pack, p9_found, p10_found)}
 
 
 def oracle_sql() -> dict[str, str]:
