@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import canonical, langid, leakage, packing, sitetree
+from ..storage import keep
+from . import canonical, langid, leakage, neardup, packing, sitetree
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +23,27 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sitetree.main_lines(sitetree.judge_pages(_table(spark, sf_dir, "pages")))
 
 
+#: Words of a shingle and Jaccard similarity that count as alike here; at least so many entries has a list that is compared.
+SHINGLE, ALIKE, ENTRIES = 3, 0.6, 4
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = sitetree.judge_pages(_table(spark, sf_dir, "pages"), texts=True, keys=True)
+    articles = keep(judged.where("not residual and not stuffed and size(lines) > 0").select(F.col("page_id").alias("id"), "visible", "text"))
+    pairs = neardup.expand(*neardup.near_duplicates(neardup.word_sets(articles, SHINGLE), ALIKE))
+    key = articles.select("id", F.xxhash64("visible").alias("same"))
+    pages = (
+        pairs.join(key.select(F.col("id").alias("id_a"), F.col("same").alias("same_a")), "id_a")
+        .join(key.select(F.col("id").alias("id_b"), F.col("same").alias("same_b")), "id_b")
+        .where("same_a is null or same_b is null or same_a <> same_b")
+    )
+    latest = Window.partitionBy("doc_id").orderBy(F.col("built_at").desc_nulls_last(), F.xxhash64("dup_urls"))
+    lists = _table(spark, sf_dir, "docinfo").where("doc_id is not null").select("doc_id", "built_at", "dup_urls").withColumn("turn", F.row_number().over(latest)).where("turn = 1")
+    sets = neardup.value_sets(lists.select(F.col("doc_id").alias("id"), F.col("dup_urls").alias("items"))).where(F.size("elements") >= ENTRIES)
+    docs = neardup.expand(*neardup.near_duplicates(sets, ALIKE, bands=64, rows=4))  # short lists: more bands, few rows
+    return pages.select(F.lit("page").alias("kind"), "id_a", "id_b").unionByName(docs.select(F.lit("docinfo").alias("kind"), "id_a", "id_b"))
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = sitetree.judge_pages(_table(spark, sf_dir, "pages"), keys=True)
     rows = judged.select(
@@ -63,7 +85,7 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p3_found, p6_found, p7_found, p8_pack, p9_found, p10_found)}
+    return {f.__name__: f for f in (p1_found, p3_found, p4_found, p6_found, p7_found, p8_pack, p9_found, p10_found)}
 
 
 def oracle_sql() -> dict[str, str]:
