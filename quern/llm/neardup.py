@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import keep
+from ..storage import written
 
 BANDS, ROWS = 48, 5
 
@@ -55,7 +55,7 @@ def representatives(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(reps, members) of (id, elements array<int>, distinct and sorted): one id for each different set; members has id, rep."""
     tagged = sets.where("id is not null and size(elements) > 0").withColumn("same", F.xxhash64("elements", F.size("elements")))
     rep = tagged.groupBy("same").agg(F.min("id").alias("rep"))
-    members = keep(tagged.select("id", "same").join(rep, "same").select("id", "rep"))
+    members = written(tagged.select("id", "same").join(rep, "same").select("id", "rep"), "members")
     return sets.join(members.where("id = rep").select("id"), "id", "left_semi"), members
 
 
@@ -79,7 +79,7 @@ def candidates(sets: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFra
 
 def similar_pairs(sets: DataFrame, threshold: float, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """(id_a, id_b, similarity) of the candidate pairs whose sets have at least this Jaccard similarity."""
-    pairs = keep(candidates(sets, bands, rows))
+    pairs = written(candidates(sets, bands, rows), "candidates")
     needed = pairs.select(F.explode(F.array("id_a", "id_b")).alias("id")).distinct()
     elements = sets.join(needed, "id", "left_semi").select("id", "elements")
     both = (
@@ -93,8 +93,8 @@ def similar_pairs(sets: DataFrame, threshold: float, bands: int = BANDS, rows: i
 
 def near_duplicates(sets: DataFrame, threshold: float, bands: int = BANDS, rows: int = ROWS) -> tuple[DataFrame, DataFrame]:
     """(pairs of representatives, members): see ``similar_pairs`` and ``representatives``. Rows with a null id or without
-    elements have no near duplicate."""
-    sets = keep(sets)
+    elements have no near duplicate. ``sets`` is read several times, so it should be a table; members and candidates are written to the
+    shared folder, so that each is computed once and no plan holds the others."""
     reps, members = representatives(sets)
     return similar_pairs(reps, threshold, bands, rows), members
 
@@ -109,7 +109,7 @@ def expand(pairs: DataFrame, members: DataFrame) -> DataFrame:
 
 
 def word_sets(texts: DataFrame, n: int) -> DataFrame:
-    """(id, elements) of (id, text): the distinct n-word shingles as sorted 32-bit hashes; shorter texts have none."""
+    """(id, elements, tag) of (id, text, tag long): the distinct n-word shingles as sorted 32-bit hashes; shorter texts have none."""
     import re
 
     word = re.compile(r"[^\W_]+")
@@ -131,9 +131,9 @@ def word_sets(texts: DataFrame, n: int) -> DataFrame:
                     sizes.append(sizes[-1] + len(part))
                 flat = np.concatenate(parts) if parts else np.empty(0, np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(np.array(sizes, np.int32)), pa.array(flat, pa.int32()))
-                yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=["id", "elements"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), lists, batch.column(2)], names=["id", "elements", "tag"])
 
-    return texts.select(F.col("id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).where("id is not null").mapInArrow(shingle, "id long, elements array<int>")
+    return texts.select(F.col("id").cast("long").alias("id"), F.col("text").cast("string").alias("text"), "tag").where("id is not null").mapInArrow(shingle, "id long, elements array<int>, tag long")
 
 
 def value_sets(rows: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..storage import keep
+from ..storage import written
 from . import canonical, langid, leakage, neardup, packing, sitetree
 
 
@@ -29,17 +29,18 @@ SHINGLE, ALIKE, ENTRIES = 3, 0.6, 4
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = sitetree.judge_pages(_table(spark, sf_dir, "pages"), texts=True, keys=True)
-    articles = keep(judged.where("not residual and not stuffed and size(lines) > 0").select(F.col("page_id").alias("id"), "visible", "text"))
-    pairs = neardup.expand(*neardup.near_duplicates(neardup.word_sets(articles, SHINGLE), ALIKE))
-    key = articles.select("id", F.xxhash64("visible").alias("same"))
+    articles = judged.where("not residual and not stuffed and size(lines) > 0").select(F.col("page_id").alias("id"), "text", F.xxhash64("visible").alias("tag"))
+    sets = written(neardup.word_sets(articles, SHINGLE), "articles")
+    pairs = neardup.expand(*neardup.near_duplicates(sets, ALIKE))
     pages = (
-        pairs.join(key.select(F.col("id").alias("id_a"), F.col("same").alias("same_a")), "id_a")
-        .join(key.select(F.col("id").alias("id_b"), F.col("same").alias("same_b")), "id_b")
-        .where("same_a is null or same_b is null or same_a <> same_b")
+        pairs.join(sets.select(F.col("id").alias("id_a"), F.col("tag").alias("tag_a")), "id_a")
+        .join(sets.select(F.col("id").alias("id_b"), F.col("tag").alias("tag_b")), "id_b")
+        .where("tag_a <> tag_b")  # a page with a main body has visible text
     )
     latest = Window.partitionBy("doc_id").orderBy(F.col("built_at").desc_nulls_last(), F.xxhash64("dup_urls"))
     lists = _table(spark, sf_dir, "docinfo").where("doc_id is not null").select("doc_id", "built_at", "dup_urls").withColumn("turn", F.row_number().over(latest)).where("turn = 1")
     sets = neardup.value_sets(lists.select(F.col("doc_id").alias("id"), F.col("dup_urls").alias("items"))).where(F.size("elements") >= ENTRIES)
+    sets = written(sets, "lists")
     docs = neardup.expand(*neardup.near_duplicates(sets, ALIKE, bands=64, rows=4))  # short lists: more bands, few rows
     return pages.select(F.lit("page").alias("kind"), "id_a", "id_b").unionByName(docs.select(F.lit("docinfo").alias("kind"), "id_a", "id_b"))
 
