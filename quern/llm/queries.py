@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..storage import written
-from . import canonical, langid, leakage, neardup, packing, sitetree
+from . import canonical, distinctive, langid, leakage, neardup, packing, sitetree
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,19 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sitetree.judge_pages(_table(spark, sf_dir, "pages")).where("residual").select("page_id")
 
 
+def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return distinctive.score_terms(_table(spark, sf_dir, "postings"), _table(spark, sf_dir, "docinfo"))
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return distinctive.best_term(_scored(spark, sf_dir), F.col("tfidf")).select("doc_id", "term")
+
+
+def p2_dfr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # weights are rounded, so that the last digits of a sum don't decide
+    return distinctive.best_term(_scored(spark, sf_dir), F.round("dfr", 6)).withColumnRenamed("weight", "dfr")
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sitetree.main_lines(sitetree.judge_pages(_table(spark, sf_dir, "pages")))
 
@@ -86,8 +99,20 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p3_found, p4_found, p6_found, p7_found, p8_pack, p9_found, p10_found)}
+    return {f.__name__: f for f in (p1_found, p2_found, p2_dfr, p3_found, p4_found, p6_found, p7_found, p8_pack, p9_found, p10_found)}
+
+
+_PAIRS = "p as (select term, doc_id, max(case when tfw > 0 then tfw end) tf from postings where term is not null and doc_id is not null group by all)"
+_TERMS = "t as (select term, count(*) df, sum(tf) f from p group by term), n as (select count(distinct doc_id)::double n from docinfo)"
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "p2_found": f"""with {_PAIRS}, {_TERMS},
+            w as (select doc_id, term, (1 + log10(tf)) * log10(n.n / df) w from p join t using (term), n where tf is not null)
+            select doc_id, term from w qualify row_number() over (partition by doc_id order by w desc, term) = 1""",
+        "p2_dfr": f"""with {_PAIRS}, {_TERMS}, l as (select doc_id, sum(tf) len from p group by doc_id), a as (select sum(tf) / any_value(n.n) av from p, n),
+            v as (select doc_id, term, tf * log2(1 + a.av / l.len) tfn, f / n.n r from p join t using (term) join l using (doc_id), n, a where tf is not null),
+            w as (select doc_id, term, round((log2(1 + r) + tfn * log2((1 + r) / r)) / (tfn + 1), 6) dfr from v)
+            select doc_id, term, dfr from w qualify row_number() over (partition by doc_id order by dfr desc, term) = 1""",
+    }
