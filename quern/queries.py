@@ -1,0 +1,44 @@
+"""The core's queries: the search engine's operators over ``documents``, ``pages`` and the index tables."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .operators import heavy
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+#: Share of all different (term, document) pairs from which a term is dominant.
+DOMINANT = 0.01
+
+
+def _term_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return heavy.key_totals(_table(spark, sf_dir, "postings"), "term", "doc_id", "tfw")
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return heavy.dominant_keys(_term_totals(spark, sf_dir), DOMINANT).select(F.col("key").alias("term"))
+
+
+def p5_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _term_totals(spark, sf_dir).select(F.col("key").alias("term"), F.col("n").alias("df"), F.col("total").alias("total_tfw"))
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {f.__name__: f for f in (p5_found, p5_totals)}
+
+
+_PAIRS = "p as (select term, doc_id, max(tfw) tf from postings where term is not null and doc_id is not null group by all)"
+
+
+def oracle_sql() -> dict[str, str]:
+    return {
+        "p5_found": f"with {_PAIRS} select term from p group by term having count(*) >= 0.01 * (select count(*) from p)",
+        "p5_totals": f"with {_PAIRS} select term, count(*) df, sum(tf)::bigint total_tfw from p group by term",
+    }
