@@ -1,4 +1,8 @@
-"""The core's queries: the search engine's operators over ``documents``, ``pages`` and the index tables."""
+"""The core's queries: the search engine's operators over ``documents``, ``pages`` and the index tables, and their SQL.
+
+Queries that search take as query texts every document whose id is divisible by 100, against all documents. Compared results
+use unstemmed terms, since SQL has no stemmer.
+"""
 
 from __future__ import annotations
 
@@ -7,15 +11,205 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import heavy
+from .config import EngineConfig
+from .functions import codec
+from .functions.hashing import exact_fingerprint, hash64, simhash64
+from .functions.text import bigrams, tokens
+from .functions.urls import normalize_column
+from .operators import dedup, heavy, links, postings, search
+from .plans import build
+from .sources.pages import page_table
+from .storage import keep, written
+
+#: Share of all different (term, document) pairs from which a term is dominant.
+DOMINANT = 0.01
+PLAIN = EngineConfig(stem=False)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: Share of all different (term, document) pairs from which a term is dominant.
-DOMINANT = 0.01
+def _tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "documents").select("doc_id", tokens(F.col("text")).alias("terms"))
+
+
+def tokenize_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return postings.term_rows(_tokens(spark, sf_dir))
+
+
+def term_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenize_documents(spark, sf_dir).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
+
+
+def document_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return postings.lexicon(term_frequency(spark, sf_dir), "term")
+
+
+def corpus_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _tokens(spark, sf_dir)
+    return rows.agg(F.count("*").alias("n_docs"), F.coalesce(F.sum(F.size("terms")), F.lit(0)).alias("n_tokens"), F.count_if(F.size("terms") == 0).alias("n_without"))
+
+
+def _weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenize_documents(spark, sf_dir).select("term", "doc_id", F.lit(1).cast("long").alias("w"), "pos")
+
+
+def term_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = postings.unigram_postings(_weighted(spark, sf_dir))
+    return rows.select("term", "doc_id", "tfw", F.array_join(F.transform("positions", lambda x: x.cast("string")), ",").alias("positions"))
+
+
+def bigram_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return postings.bigram_postings(_tokens(spark, sf_dir).select("doc_id", bigrams(F.col("terms")).alias("bigrams")))
+
+
+def bigram_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return postings.lexicon(bigram_postings(spark, sf_dir), "bigram")
+
+
+def _tables(spark: SparkSession, sf_dir: str) -> search.SearchTables:
+    one, two = keep(postings.unigram_postings(_weighted(spark, sf_dir))), keep(bigram_postings(spark, sf_dir))
+    lex, lex2 = keep(postings.lexicon(one, "term")), keep(postings.lexicon(two, "bigram"))
+    documents = _table(spark, sf_dir, "documents").select("doc_id", "url")
+    n = documents.count()
+    norm2 = postings.norms(two, lex2, "bigram", "tf", n).withColumnRenamed("norm", "norm2")
+    info = keep(documents.join(postings.norms(one, lex, "term", "tfw", n), "doc_id", "left").join(norm2, "doc_id", "left").select("doc_id", "url", "norm", "norm2"))
+    return search.SearchTables(one, two, lex, lex2, info, n)
+
+
+def idf_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = _table(spark, sf_dir, "documents").count()
+    return document_frequency(spark, sf_dir).select("term", F.round(F.log10(F.lit(float(n)) / F.col("df")), 6).alias("idf"))
+
+
+def doc_norms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _tables(spark, sf_dir).docinfo.select("doc_id", F.round(F.coalesce("norm", F.lit(1.0)), 6).alias("norm"), F.round(F.coalesce("norm2", F.lit(1.0)), 6).alias("norm2"))
+
+
+def exact_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup.exact_groups(_table(spark, sf_dir, "documents").select("doc_id", exact_fingerprint(F.col("text")).alias("sha")))
+
+
+def hash64_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenize_documents(spark, sf_dir).select("term").distinct().select("term", hash64(F.col("term")).alias("hash"))
+
+
+def simhash_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = term_frequency(spark, sf_dir).withColumnRenamed("tf", "n")
+    return simhash64(counts, _table(spark, sf_dir, "documents").select("doc_id"))
+
+
+def lsh_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup.bands(simhash_documents(spark, sf_dir)).select("doc_id", "band", "band_value")
+
+
+def near_duplicate_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of class representatives; ``simhash_documents`` has the classes."""
+    return dedup.near_edges(keep(simhash_documents(spark, sf_dir))).select("a", "b", "dist")
+
+
+def canonical_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup.canonical_map(simhash_documents(spark, sf_dir)).select("doc_id", "canonical_id", "dist")
+
+
+def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _tokens(spark, sf_dir).where("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), "terms")
+
+
+def boolean_and(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.boolean_and(search.query_terms(_asked(spark, sf_dir)), _tables(spark, sf_dir).postings)
+
+
+def unigram_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = _tables(spark, sf_dir)
+    rows = search.cosine(search.query_terms(_asked(spark, sf_dir)), "term", t.postings, t.lexicon, "tfw", t.docinfo, "norm", t.n)
+    return rows.withColumn("score", F.round("score", 6))
+
+
+def bigram_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = _tables(spark, sf_dir)
+    asked = _asked(spark, sf_dir).select("query_id", F.explode(bigrams(F.col("terms"))).alias("bigram"))
+    return search.cosine(asked, "bigram", t.bigrams, t.lexicon2, "tf", t.docinfo, "norm2", t.n).withColumn("score", F.round("score", 6))
+
+
+def phrase_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = _tables(spark, sf_dir)
+    asked = search.query_terms(_asked(spark, sf_dir))
+    every = asked.select("query_id", "term").distinct().join(t.postings.select("term", "doc_id"), "term").select("query_id", "doc_id").distinct()
+    return search.phrase_hits(asked, t.postings, every)
+
+
+def search_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = search.scored_candidates(_asked(spark, sf_dir), _tables(spark, sf_dir), PLAIN)
+    return rows.select("query_id", "doc_id", F.round("score", 6).alias("score"), "candidates")
+
+
+def search_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = _tables(spark, sf_dir)
+    return search.ranked(search.scored_candidates(_asked(spark, sf_dir), t, PLAIN), t.docinfo, PLAIN.top_k)
+
+
+def _zones(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return build.parse_zones(page_table(_table(spark, sf_dir, "pages")))
+
+
+def page_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _zones(spark, sf_dir).select("doc_id", "title", "head", "bold", "body")
+
+
+def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _zones(spark, sf_dir).select("doc_id", F.posexplode("links").alias("link_ord", "l")).select("doc_id", "link_ord", F.col("l.target").alias("target"), F.col("l.text").alias("anchor_text"))
+
+
+def normalized_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_table(_table(spark, sf_dir, "pages")).select("doc_id", normalize_column(F.col("url")).alias("nurl"))
+
+
+def url_owner(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return links.url_owners(normalized_urls(spark, sf_dir))
+
+
+def anchor_tf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    zones = written(_zones(spark, sf_dir), "zones")
+    rows = zones.select("doc_id", F.explode("links").alias("l")).select("doc_id", F.col("l.target").alias("target"), tokens(F.col("l.text")).alias("terms"))
+    own = zones.select("doc_id", F.col("doc_id").alias("canonical_id"))
+    return links.anchor_terms(rows, links.url_owners(zones.select("doc_id", "nurl")), own)
+
+
+def _page_index(spark: SparkSession, sf_dir: str, config: EngineConfig) -> build.Index:
+    return build.build_index(written(_zones(spark, sf_dir), "zones"), config)
+
+
+def weighted_tf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _page_index(spark, sf_dir, PLAIN).postings.select("term", "doc_id", "tfw", F.size("positions").alias("n_positions"))
+
+
+def page_docinfo(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _page_index(spark, sf_dir, PLAIN).docinfo.withColumn("dup_urls", F.array_join("dup_urls", " "))
+
+
+def search_pages_stemmed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked = _table(spark, sf_dir, "documents").where("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), "text")
+    return _page_index(spark, sf_dir, EngineConfig()).search(asked)
+
+
+def positions_codec_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "postings").select("block_id", "term", "doc_id", codec.decode_column("positions_b64").alias("positions"))
+    return rows.select("block_id", "term", "doc_id", codec.encode_column("positions").alias("positions_b64"))
+
+
+def posting_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Postings whose stored positions are read: how many there are and the last."""
+    rows = _table(spark, sf_dir, "postings").select("block_id", "term", "doc_id", codec.decode_column("positions_b64").alias("positions"))
+    return rows.select("block_id", "term", "doc_id", F.size("positions").alias("n"), F.array_max("positions").alias("last"))
+
+
+def index_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Point lookups in the stored postings: for each document of the queries' ids the rows of its terms in the index tables."""
+    rows = _table(spark, sf_dir, "postings").where("doc_id % 100 = 0")
+    lex = _table(spark, sf_dir, "lexicon").groupBy("block_id", "term").agg(F.max("df").alias("df"))
+    return rows.select("block_id", "term", "doc_id").distinct().join(lex, ["block_id", "term"])
 
 
 def _term_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,15 +224,87 @@ def p5_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _term_totals(spark, sf_dir).select(F.col("key").alias("term"), F.col("n").alias("df"), F.col("total").alias("total_tfw"))
 
 
+_QUERIES = (
+    tokenize_documents, term_frequency, document_frequency, corpus_stats, term_positions, bigram_postings, bigram_lexicon, idf_weights, doc_norms,
+    exact_duplicates, hash64_terms, simhash_documents, lsh_bands, near_duplicate_pairs, canonical_documents, boolean_and, unigram_cosine,
+    bigram_cosine, phrase_hits, search_candidates, search_ranked, page_zones, page_links, normalized_urls, url_owner, anchor_tf, weighted_tf, page_docinfo,
+    search_pages_stemmed, positions_codec_roundtrip, posting_positions, index_lookup, p5_found, p5_totals,
+)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p5_found, p5_totals)}
+    return {f.__name__: f for f in _QUERIES}
+
+
+_PAIRS = "p as (select term, doc_id, max(tfw) tfw from postings where term is not null and doc_id is not null group by all)"
+_D = "d as (select doc_id, url, text, list_transform(regexp_extract_all(coalesce(text, ''), '[A-Za-z0-9]+'), lambda x: lower(x)) terms from documents)"
+_TOK = _D + ", tok as (select doc_id, unnest(range(len(terms)))::int pos, unnest(terms) term from d)"
+_TF = _TOK + ", tf as (select term, doc_id, count(*) tf from tok group by all), df as (select term, count(*) df from tf group by term), n as (select count(*)::double n from d)"
+_BI = "bg as (select a.doc_id, a.term || ' ' || b.term bigram from tok a join tok b on a.doc_id = b.doc_id and b.pos = a.pos + 1), bf as (select bigram, doc_id, count(*) tf from bg group by all), bdf as (select bigram, count(*) df from bf group by bigram)"
+
+
+def _norm(tf: str, df: str, key: str) -> str:
+    return f"select doc_id, sqrt(sum(((1 + log10(tf)) * log10(n / df)) ** 2)) norm from {tf} join {df} using ({key}), n where df <> n group by doc_id"
+
+
+def _cosine(name: str, asked: str, tf: str, df: str, key: str, norm: str) -> str:
+    return f"""{name}q as (select query_id, {key}, (1 + log10(count(*))) * log10(any_value(n.n) / any_value(df)) w, any_value(df) df from {asked} join {df} using ({key}), n where df <> n.n group by all),
+        {name}l as (select query_id, sqrt(sum(w * w)) l from {name}q group by query_id),
+        {name} as (select query_id, f.doc_id, sum(q.w * (1 + log10(f.tf)) * log10(n.n / q.df)) / (coalesce(nullif(any_value(m.norm), 0), 1) * any_value(l)) score
+            from {name}q q join {tf} f using ({key}) join {name}l using (query_id) left join {norm} m on m.doc_id = f.doc_id, n group by query_id, f.doc_id)"""
 
 
-_PAIRS = "p as (select term, doc_id, max(tfw) tf from postings where term is not null and doc_id is not null group by all)"
+_ASKED = "asked as (select doc_id query_id, pos, term from tok where doc_id % 100 = 0), asked2 as (select a.query_id, a.pos, a.term t1, b.term t2, a.term || ' ' || b.term bigram from asked a join asked b on a.query_id = b.query_id and b.pos = a.pos + 1)"
+_NORMS = f"m1 as ({_norm('tf', 'df', 'term')}), m2 as ({_norm('bf', 'bdf', 'bigram')})"
+_AND = "need as (select query_id, count(distinct term) c from asked group by 1), conj as (select query_id, doc_id from (select query_id, doc_id, count(*) c from (select distinct query_id, term from asked) join tf using (term) group by all) join need using (query_id, c))"
+_HITS = "hits as (select query_id, x.doc_id, count(*) hits from asked2 join tok x on x.term = t1 join tok y on y.term = t2 and y.doc_id = x.doc_id and y.pos = x.pos + 1 group by all)"
+_ALL = f"with {_TF}, {_BI}, {_NORMS}, {_ASKED}, {_AND}"
+_SEARCH = f"""{_ALL}, {_cosine('uni', 'asked', 'tf', 'df', 'term', 'm1')}, {_cosine('bi', 'asked2', 'bf', 'bdf', 'bigram', 'm2')},
+    allowed as (select query_id, doc_id from uni qualify row_number() over (partition by query_id order by score desc, doc_id) <= 5000), {_HITS},
+    boost as (select query_id, doc_id, 0.15::double * hits p from hits semi join allowed using (query_id, doc_id)),
+    parts as (select query_id, doc_id, score u, 0 b, 0 p, 1 s, 0 c from uni union all select query_id, doc_id, 0, score, 0, 1, 0 from bi union all select query_id, doc_id, 0, 0, p, 1, 0 from boost union all select query_id, doc_id, 0, 0, 0, 0, 1 from conj),
+    docs as (select query_id, doc_id, sum(u) u, sum(b) b, sum(p) p, max(s) s, max(c) c from parts group by all),
+    tier as (select query_id, count(*) filter (p > 0) np, count(*) filter (p > 0 or c = 1) na from docs semi join uni using (query_id) group by 1),
+    cand as (select query_id, doc_id, 0.85::double * u + 0.15::double * b + p score from docs join tier using (query_id) where case when np >= 50 then p > 0 when na >= 50 then p > 0 or c = 1 else s = 1 end
+        qualify row_number() over (partition by query_id order by u desc, doc_id) <= 5000),
+    counted as (select *, count(*) over (partition by query_id) candidates from cand)"""
+# What Python takes for white space, as an RE2 class.
+_WS = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
+_SIMHASH = _TF + """, h as (select doc_id, tf, ('0x' || substr(sha1(term), 1, 16))::ubigint h from tf),
+    v as (select doc_id, i, sum(case when (h >> i) & 1::ubigint = 1 then tf else -tf end) v from h, (select unnest(range(64))::ubigint i) group by all),
+    s as (select doc_id, bit_or(case when v >= 0 then 1::ubigint << i else 0::ubigint end) fp from v group by doc_id),
+    fps as (select d.doc_id, coalesce(fp, 0)::ubigint u, case when coalesce(fp, 0) >= 9223372036854775808 then (coalesce(fp, 0)::hugeint - 18446744073709551616)::bigint else coalesce(fp, 0)::bigint end fp from d left join s using (doc_id))"""
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "tokenize_documents": f"with {_TOK} select doc_id, pos, term from tok",
+        "term_frequency": f"with {_TF} select doc_id, term, tf from tf",
+        "document_frequency": f"with {_TF} select term, df from df",
+        "corpus_stats": f"with {_D} select count(*) n_docs, coalesce(sum(len(terms)), 0)::bigint n_tokens, count(*) filter (len(terms) = 0) n_without from d",
+        "term_positions": f"with {_TOK} select term, doc_id, count(*) tfw, string_agg(pos::varchar, ',' order by pos) positions from tok group by term, doc_id",
+        "bigram_postings": f"with {_TF}, {_BI} select bigram, doc_id, tf from bf",
+        "bigram_lexicon": f"with {_TF}, {_BI} select bigram, df from bdf",
+        "idf_weights": f"with {_TF} select term, round(log10(n / df), 6) idf from df, n",
+        "doc_norms": f"with {_TF}, {_BI}, {_NORMS} select doc_id, round(coalesce(m1.norm, 1), 6) norm, round(coalesce(m2.norm, 1), 6) norm2 from d left join m1 using (doc_id) left join m2 using (doc_id)",
+        "exact_duplicates": f"with s as (select doc_id, sha256(trim(regexp_replace(coalesce(text, ''), '{_WS}', ' ', 'g'))) sha from documents) select doc_id, sha, min(doc_id) over (partition by sha) first_id from s",
+        "hash64_terms": f"with {_TOK}, t as (select distinct term from tok), h as (select term, ('0x' || substr(sha1(term), 1, 16))::ubigint::hugeint u from t) select term, (case when u >= 9223372036854775808 then u - 18446744073709551616 else u end)::bigint hash from h",
+        "simhash_documents": f"with {_SIMHASH} select doc_id, fp from fps",
+        "lsh_bands": f"with {_SIMHASH} select doc_id, k::int band, ((u >> (16 * k)::ubigint) & 65535::ubigint)::int band_value from fps, (select unnest(range(4)) k)",
+        "near_duplicate_pairs": f"""with {_SIMHASH}, r as (select u, min(doc_id) id from fps group by u)
+            select x.id a, y.id b, bit_count(xor(x.u, y.u))::int dist from r x join r y on x.id < y.id where bit_count(xor(x.u, y.u)) <= 5
+            and (x.u & 65535::ubigint = y.u & 65535::ubigint or (x.u >> 16) & 65535::ubigint = (y.u >> 16) & 65535::ubigint or (x.u >> 32) & 65535::ubigint = (y.u >> 32) & 65535::ubigint or x.u >> 48 = y.u >> 48)""",
+        "boolean_and": f"{_ALL} select query_id, doc_id from conj",
+        "unigram_cosine": f"{_ALL}, {_cosine('uni', 'asked', 'tf', 'df', 'term', 'm1')} select query_id, doc_id, round(score, 6) score from uni",
+        "bigram_cosine": f"{_ALL}, {_cosine('bi', 'asked2', 'bf', 'bdf', 'bigram', 'm2')} select query_id, doc_id, round(score, 6) score from bi",
+        "phrase_hits": f"{_ALL}, {_HITS} select query_id, doc_id, hits from hits",
+        "search_candidates": f"{_SEARCH} select query_id, doc_id, round(score, 6) score, candidates from counted",
+        "search_ranked": f"""{_SEARCH}, r as (select query_id, doc_id, round(score, 6) score, candidates from counted)
+            select query_id, row_number() over (partition by query_id order by score desc, doc_id)::int rank, doc_id, score, coalesce(nullif(url, ''), 'doc:' || doc_id) url, candidates
+            from r left join (select doc_id, url from documents) using (doc_id) qualify rank <= 10""",
+        "positions_codec_roundtrip": "select block_id, term, doc_id, positions_b64 from postings",
+        "index_lookup": """with l as (select block_id, term, max(df) df from lexicon group by all)
+            select block_id, term, doc_id, df from (select distinct block_id, term, doc_id from postings where doc_id % 100 = 0) join l using (block_id, term)""",
         "p5_found": f"with {_PAIRS} select term from p group by term having count(*) >= 0.01 * (select count(*) from p)",
-        "p5_totals": f"with {_PAIRS} select term, count(*) df, sum(tf)::bigint total_tfw from p group by term",
+        "p5_totals": f"with {_PAIRS} select term, count(*) df, sum(tfw)::bigint total_tfw from p group by term",
     }

@@ -1,0 +1 @@
+"""No streaming operator: the index is built from whole tables."""
