@@ -49,9 +49,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def keep(df: DataFrame) -> DataFrame:
-    """Caches a frame that a plan reads more than once. Lost parts are computed again from its lineage."""
+def keep(df: DataFrame, now: bool = False) -> DataFrame:
+    """Caches a frame that a plan reads more than once. Lost parts are computed again from its lineage. ``now`` computes it at
+    once: stages that start together would each compute the parts that no other executor has ready."""
     df = df.persist(StorageLevel.MEMORY_AND_DISK)
+    if now:
+        df.count()
     _KEPT.append(df)
     while len(_KEPT) > MOST_KEPT:
         try:
