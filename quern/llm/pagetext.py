@@ -45,7 +45,7 @@ _STOP = re.compile(r"[.!?…。][\"'»”)\]]*$")
 class Block(NamedTuple):
     branch: int  # 0: the head; else the number of the branch's opening
     path: str  # style path of the branch
-    tag: str  # title, h (heading), li, td, p, line or menu
+    tag: str  # title, h (heading), li, td, p, line, menu or row (of a table without markup)
     text: str  # blanks collapsed
     link: int  # characters of text inside links
     lines: list[int]
@@ -170,6 +170,48 @@ def _block(branch: int, path: str, tag: str, part: str, lines: list[int]) -> Blo
 
 _BULLET = re.compile(r"^\s*(?:[*•·-]|\d+[.)])\s+")
 _MENU = re.compile(r"\s{2,}|\s[/|>·›-]\s|\t")
+_COLUMNS = (re.compile(r"\s*\t\s*"), re.compile(r" {2,}"), re.compile(r"\s\|\s"))
+
+
+def is_item(text: str) -> bool:
+    return _BULLET.match(text) is not None
+
+
+def _cells(line: str) -> tuple[int, list[str]]:
+    """What separates the columns of a line, and its cells; -1 and none if it has no columns or ends like a sentence."""
+    line = line.strip()
+    if not _STOP.search(line) and _BULLET.match(line) is None:
+        for k, pattern in enumerate(_COLUMNS):
+            if pattern.search(line):
+                cells = pattern.split(line)
+                return (k, cells) if all(map(_ALNUM.search, cells)) else (-1, [])
+    return -1, []
+
+
+def _is_amount(cell: str) -> bool:
+    return any(map(str.isdigit, cell)) and sum(map(str.isalpha, cell)) <= 3
+
+
+def _table_rows(lines: list[str]) -> set[int]:
+    """Numbers (from 1) of the lines of tables: successive lines of as many columns, separated alike; a head aside there is
+    a column of amounts, or there are three lines at least."""
+    out: set[int] = set()
+    at = 0
+    while at < len(lines):
+        mark, first = _cells(lines[at])
+        end = at + 1
+        if mark >= 0:
+            run = [first]
+            while end < len(lines):
+                other, cells = _cells(lines[end])
+                if other != mark or len(cells) != len(first):
+                    break
+                run.append(cells)
+                end += 1
+            if len(run) > 2 or len(run) == 2 and any(all(map(_is_amount, column[1:])) for column in zip(*run)):
+                out.update(range(at + 1, end + 1))
+        at = end
+    return out
 
 
 def _plain_blocks(source: str) -> list[Block]:
@@ -179,6 +221,8 @@ def _plain_blocks(source: str) -> list[Block]:
     branch, seen = 1, False
     parts: list[str] = []
     lines: list[int] = []
+    shown = [html.unescape(line) if "&" in line else line for line in source.split("\n")]
+    rows = _table_rows(shown) if _MENU.search(source) else set()
 
     def flush(tag: str = "line") -> None:
         nonlocal parts, lines
@@ -188,8 +232,7 @@ def _plain_blocks(source: str) -> list[Block]:
             out.append(Block(branch, "text", tag, _SPACE.sub(" ", " ".join(parts)).strip(), 0, lines))
         parts, lines = [], []
 
-    for n, line in enumerate(source.split("\n"), 1):
-        text = html.unescape(line) if "&" in line else line
+    for n, text in enumerate(shown, 1):
         if not _ALNUM.search(text):
             flush()
             if not text.strip():
@@ -200,6 +243,10 @@ def _plain_blocks(source: str) -> list[Block]:
             out.append(Block(0, "text", "title", _SPACE.sub(" ", text).strip(), 0, [n]))
             continue
         stripped = text.strip()
+        if n in rows:
+            flush()
+            out.append(Block(branch, "text", "row", _SPACE.sub(" ", text).strip(), 0, [n]))
+            continue
         bullet = _BULLET.match(text) is not None
         if parts and (bullet or not _continues(parts[-1], stripped)):
             flush()

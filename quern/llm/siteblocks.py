@@ -12,7 +12,7 @@ from urllib.parse import urlsplit
 
 import xxhash
 
-from .pagetext import Block, blocks
+from .pagetext import Block, blocks, is_item
 from .residue import FILLER, residue_words
 from .stuffing import chunks
 
@@ -43,6 +43,8 @@ PROSE, HEAP, LINKS, STOPPED = 1, 2, 4, 8
 BRANCH_ROW = 1_000_000
 #: Blocks of more words are not counted as nodes that pages may share.
 LONG = 60
+#: Tags of lines without markup that are set in columns, be they menus or tables.
+COLUMNS = ("menu", "row")
 #: A branch with fewer words of prose counts as noise when the trees are merged.
 REST = 25
 
@@ -134,7 +136,7 @@ def facts(source: str | None, host: str) -> list[Facts]:
         residue = residue_words(text) if b.branch and (n <= 24 or _MAYBE.search(text) or any(map(_is_filler, low))) else 0
         if _heap(low, function):
             kind |= HEAP
-        elif 2 * residue <= n and function >= 0.1 * n and (n >= 4 and stop or n >= 9) and b.tag != "menu" and not (not stop and _CRUMB.search(text)):
+        elif 2 * residue <= n and function >= 0.1 * n and (n >= 4 and stop or n >= 9) and b.tag not in COLUMNS and not (not stop and _CRUMB.search(text)):
             if not (text.endswith("…") and ":" in text and n <= 22 and text.count("…") == 1):
                 kind |= PROSE
         if n > LONG:
@@ -211,12 +213,12 @@ def verdict(page: list[Facts], known: Known = NOTHING) -> Verdict:
         if 2 * f.residue > f.words or _top_heading(page, body, i):
             continue
         # beside residue only what may be the article counts, not loose labels and lists of links
-        if not residue or f.kind & PROSE or f.kind & HEAP and f.block.tag != "menu" or not f.kind & LINKS and f.words >= 12 and f.block.tag not in ("menu", "li"):
+        if not residue or f.kind & PROSE or f.kind & HEAP and f.block.tag not in COLUMNS or not f.kind & LINKS and f.words >= 12 and f.block.tag not in (*COLUMNS, "li"):
             rest.append(f)
     other = sum(f.words for f in rest)
     if not residue and not other:
         residue = _repeated_response(page, low, known)
-    return Verdict(lines, "\n".join(page[i].block.text for i in main), residue, other, chunks([(f.block.text, f.words, bool(f.kind & PROSE), bool(f.kind & (HEAP | LINKS)) or f.words < 8 or f.block.tag == "menu") for f in rest]))
+    return Verdict(lines, "\n".join(page[i].block.text for i in main), residue, other, chunks([(f.block.text, f.words, bool(f.kind & PROSE), bool(f.kind & (HEAP | LINKS)) or f.words < 8 or f.block.tag in COLUMNS) for f in rest]))
 
 
 def _top_heading(page: list[Facts], body: list[int], i: int) -> bool:
@@ -278,28 +280,70 @@ def _main_markup(page: list[Facts], low: list[bool], known: Known) -> list[int]:
 
 def _main_text(page: list[Facts], low: list[bool]) -> list[int]:
     """Lines without markup: from the heading before the first prose on; short lines are the article's headings where
-    prose follows, and teasers in a run or behind the last prose."""
+    prose follows, and teasers in a run or behind the last prose. Tables and lists of short items amid prose are kept."""
     n = len(page)
     prose = [bool(f.kind & PROSE) and not low[i] and f.block.tag != "title" for i, f in enumerate(page)]
     if not any(prose):
         return []
-    main: list[int] = []
+    main: set[int] = set()
     run: list[int] = []  # short lines since the last prose
+    spoken: list[int] = []
     for i in range(n):
         f = page[i]
         if f.block.tag == "title":
             continue
         if prose[i]:
+            main.update(_between(page, low, spoken, run, i))
             # the last short line before prose is its heading, or items of a list of sentences
-            if run and not low[run[-1]] and run[-1] == i - 1 and page[run[-1]].block.tag != "menu":
-                main.append(run[-1])
-            main.append(i)
+            if run and not low[run[-1]] and run[-1] == i - 1 and page[run[-1]].block.tag not in COLUMNS:
+                main.add(run[-1])
+            main.add(i)
+            spoken.append(i)
             run = []
-        elif low[i]:
-            run.append(i)
         else:
             run.append(i)
-    return main
+    main.update(_between(page, low, spoken, run, -1))
+    return sorted(main)
+
+
+def _between(page: list[Facts], low: list[bool], spoken: list[int], run: list[int], after: int) -> list[int]:
+    """Of the short lines behind the prose blocks so far and before the next (-1: none) those of tables and lists of the article,
+    none of which is low. Rows have prose of their branch, that is without a blank line between, on one side at least, items
+    on both; the article's heading, before which there is hardly any prose, stands for prose before. A line alone that
+    heads rows between prose goes with them; one that heads items may as well head links, and doesn't."""
+    out: list[int] = []
+    before = spoken[-1] if spoken else -1
+    early = sum(page[i].words for i in spoken) < REST
+    at = 0
+    while at < len(run):
+        kind, branch = _listed(page[run[at]].block), page[run[at]].block.branch
+        end = at + 1
+        while end < len(run) and _listed(page[run[end]].block) == kind and page[run[end]].block.branch == branch:
+            end += 1
+        part = run[at:end]
+        if kind and len(part) > 1 and not any(low[i] for i in part):
+            head = [i for i in run[max(at - 1, 0) : at] if not low[i] and not _listed(page[i].block) and page[i].block.tag != "menu" and page[i].block.branch == branch]
+            above = page[run[at - 2]].block if at > 1 else None
+            first = bool(head) and early and (above is None or low[run[at - 2]] or above.branch != branch or above.tag == "menu")
+            precedes = _reaches(page, low, run[:at], before, branch, 0)
+            follows = _reaches(page, low, run[end:], after, branch, 1)
+            if follows and (precedes or first) or kind == "row" and (follows or precedes):
+                out += part
+                if follows and (first or kind == "row" and _reaches(page, low, run[:at], before, branch, 1)):
+                    out += head
+        at = end
+    return out
+
+
+def _listed(block: Block) -> str:
+    return "row" if block.tag == "row" else "li" if is_item(block.text) else ""
+
+
+def _reaches(page: list[Facts], low: list[bool], way: list[int], prose: int, branch: int, loose: int) -> bool:
+    """Whether a way ends at prose of the branch and holds nothing but rows, items and so many other lines."""
+    if prose < 0 or page[prose].block.branch != branch or any(low[i] or page[i].block.tag == "menu" for i in way):
+        return False
+    return sum(not _listed(page[i].block) for i in way) <= loose
 
 
 def _body(page: list[Facts], low: list[bool], known: Known, text: bool, main_blocks: list[int]) -> list[int]:
@@ -307,9 +351,9 @@ def _body(page: list[Facts], low: list[bool], known: Known, text: bool, main_blo
     what they hold, whether or not that is prose."""
     if text:
         spoken = [i for i, f in enumerate(page) if f.block.tag != "title" and not low[i] and (f.kind & PROSE or f.residue)]
-        heaps = [i for i, f in enumerate(page) if f.block.tag != "title" and not low[i] and f.kind & HEAP and f.words >= 12 and f.block.tag != "menu"]
+        heaps = [i for i, f in enumerate(page) if f.block.tag != "title" and not low[i] and f.kind & HEAP and f.words >= 12 and f.block.tag not in COLUMNS]
         if not spoken and not heaps:  # then lists of names or links, behind the menu
-            heaps = [i for i, f in enumerate(page) if f.block.tag == "menu" and not low[i] and f.words >= 20]
+            heaps = [i for i, f in enumerate(page) if f.block.tag in COLUMNS and not low[i] and f.words >= 20]
             lines = [i for i, f in enumerate(page) if f.block.tag != "title" and not low[i] and f.words >= 4]
             if not heaps and sum(page[i].words for i in lines) >= 30:
                 heaps = lines

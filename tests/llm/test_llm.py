@@ -4,7 +4,7 @@ from itertools import combinations
 import pytest
 from pyspark.sql import functions as F
 
-from quern.llm import canonical, distinctive, langid, leakage, neardup, packing, sitetree
+from quern.llm import canonical, distinctive, langid, leakage, neardup, packing, siteblocks, sitetree
 from quern.llm.pagetext import blocks, visible_key
 from quern.llm.residue import residue_words
 
@@ -35,6 +35,20 @@ def test_pages_are_judged(spark):
     assert sitetree.judge_pages(spark.createDataFrame([], PAGES)).count() == 0
 
 
+def test_tables_and_lists_without_markup_are_main():
+    rows, items = ["lamp\t18.1\tMuma", "mill\t21\tKizra", "kiln\t86\tBroza"], ["- 53 lamps", "- 17 mills", "- 5 kilns"]
+
+    def lines(text):
+        return siteblocks.verdict(siteblocks.facts("\n".join(text), "h.example")).lines
+
+    assert lines(["Title | Site", "", "Heading", *SENTENCES[:2], *rows, SENTENCES[2], *items, *SENTENCES[3:5]]) == list(range(3, 15))
+    assert lines(["Title | Site", "Home > News > Heading", "Price list 47", *rows, *SENTENCES[:2]]) == list(range(3, 9))
+    assert lines(["Title | Site", "", "Price list 47", *items, *SENTENCES[:2]]) == list(range(3, 9))
+    assert lines(["Title | Site", "", *SENTENCES[:2], *rows, "", "Shop  Prices"]) == list(range(3, 8))
+    assert lines(["Title | Site", "", "Home  News", "Shop  Prices", "", "Heading", *SENTENCES[:2], "", "* Another lamp", "* Another mill"]) == [6, 7, 8]
+    assert not {5, 6} & set(lines(["Title | Site", "", *SENTENCES[:2], "Read also", "* Another lamp", "* Another mill", "", SENTENCES[2]]))
+
+
 def test_residue_is_not_about_residue():
     assert residue_words("404 Not Found") and residue_words("Dear {{ name }}, welcome to {{ city }}.")
     assert not residue_words("The team found that an internal server error appeared only while the nightly copy was running.")
