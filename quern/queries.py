@@ -206,12 +206,22 @@ def posting_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def index_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Point lookups in the stored postings: for each document of the queries' ids the rows of its terms in the index tables."""
+    """The documents of the queries' ids by themselves: their own postings with the df of the block. For lookups see ``posting_lookup``."""
     rows = _table(spark, sf_dir, "postings").where("doc_id % 100 = 0")
     lex = _table(spark, sf_dir, "lexicon").groupBy("block_id", "term").agg(F.max("df").alias("df"))
     return rows.select("block_id", "term", "doc_id").distinct().join(lex, ["block_id", "term"])
 
 
+def posting_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Point lookups in the stored postings: of every term in a document of the queries' ids its df in all blocks and its whole posting list."""
+    rows = _table(spark, sf_dir, "postings").where("term is not null and doc_id is not null")
+    asked = rows.where("doc_id % 100 = 0").select("term").distinct()
+    lists = rows.join(asked, "term", "left_semi").groupBy("term", "block_id", "doc_id").agg(F.max("tfw").alias("tfw"), F.max("positions_b64").alias("positions_b64"))
+    blocks = _table(spark, sf_dir, "lexicon").join(asked, "term", "left_semi").groupBy("block_id", "term").agg(F.max("df").alias("df"))
+    lex = blocks.groupBy("term").agg(F.sum("df").alias("df"))
+    return lists.join(lex, "term").select("term", "df", "block_id", "doc_id", "tfw", "positions_b64")
+
+
 def _term_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return heavy.key_totals(_table(spark, sf_dir, "postings"), "term", "doc_id", "tfw")
 
@@ -228,7 +238,7 @@ _QUERIES = (
     tokenize_documents, term_frequency, document_frequency, corpus_stats, term_positions, bigram_postings, bigram_lexicon, idf_weights, doc_norms,
     exact_duplicates, hash64_terms, simhash_documents, lsh_bands, near_duplicate_pairs, canonical_documents, boolean_and, unigram_cosine,
     bigram_cosine, phrase_hits, search_candidates, search_ranked, page_zones, page_links, normalized_urls, url_owner, anchor_tf, weighted_tf, page_docinfo,
-    search_pages_stemmed, positions_codec_roundtrip, posting_positions, index_lookup, p5_found, p5_totals,
+    search_pages_stemmed, positions_codec_roundtrip, posting_positions, index_lookup, posting_lookup, p5_found, p5_totals,
 )
 
 
@@ -305,6 +315,9 @@ def oracle_sql() -> dict[str, str]:
         "positions_codec_roundtrip": "select block_id, term, doc_id, positions_b64 from postings",
         "index_lookup": """with l as (select block_id, term, max(df) df from lexicon group by all)
             select block_id, term, doc_id, df from (select distinct block_id, term, doc_id from postings where doc_id % 100 = 0) join l using (block_id, term)""",
+        "posting_lookup": """with asked as (select distinct term from postings where doc_id % 100 = 0), p as (select term, block_id, doc_id, max(tfw) tfw, max(positions_b64) positions_b64 from postings where term is not null and doc_id is not null group by all),
+            l as (select term, sum(df)::bigint df from (select block_id, term, max(df) df from lexicon group by all) group by term)
+            select term, df, block_id, doc_id, tfw, positions_b64 from p semi join asked using (term) join l using (term)""",
         "p5_found": f"with {_PAIRS} select term from p group by term having count(*) >= 0.01 * (select count(*) from p)",
         "p5_totals": f"with {_PAIRS} select term, count(*) df, sum(tfw)::bigint total_tfw from p group by term",
     }

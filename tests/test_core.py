@@ -104,3 +104,13 @@ def test_exact_groups(spark):
         if r.doc_id < 3:
             assert r.sha == hashlib.sha256(b"a b").hexdigest()
     assert groups == {1: {1, 2}, 3: {3}}
+
+
+def test_posting_lookup_gives_whole_lists(spark, tmp_path):
+    from quern import queries
+
+    rows = [(0, "a", 100, 2, "AA=="), (0, "a", 100, None, "AA=="), (0, "a", 7, 1, ""), (1, "a", 8, 3, "AAUH"), (1, "b", 8, 1, ""), (1, "c", 200, 1, ""), (0, None, 100, 1, "")]
+    spark.createDataFrame(rows, "block_id int, term string, doc_id long, tfw long, positions_b64 string").write.parquet(f"{tmp_path}/postings.parquet")
+    spark.createDataFrame([(0, "a", 2), (0, "a", None), (1, "a", 1), (1, "b", 1)], "block_id int, term string, df long").write.parquet(f"{tmp_path}/lexicon.parquet")
+    found = {tuple(r) for r in queries.queries()["posting_lookup"](spark, str(tmp_path)).collect()}
+    assert found == {("a", 3, 0, 100, 2, "AA=="), ("a", 3, 0, 7, 1, ""), ("a", 3, 1, 8, 3, "AAUH")}
