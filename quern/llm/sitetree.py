@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from ..storage import keep
 from .pagetext import Block, visible_key
-from .siteblocks import BRANCH_ROW, LINKS, Facts, Known, article_key, facts, hash64, host_of, signatures, verdict
+from .siteblocks import BRANCH_ROW, Facts, Known, article_key, facts, hash64, host_of, signatures, verdict
 from .stuffing import CHUNK_TYPE, flag_stuffed
 
 SALTS = 16
@@ -67,7 +67,7 @@ def _parse(batches: Iterator[pa.RecordBatch], keys: bool = True) -> Iterator[pa.
                 key = visible_key(source) if keys else ""
                 row = (
                     page_id, when, hash64(source or "") & TIE, hash64(host) & NARROW, article_key(page, host) & NARROW, [n[0] for n in nodes], [n[1] for n in nodes],
-                    [n[2] for n in nodes], _digest(key), marshal.dumps([(*f.block[:3], "" if f.kind & LINKS else f.block.text, *f.block[4:], *f[1:4], 0) for f in page]), url,
+                    [n[2] for n in nodes], _digest(key), marshal.dumps([(*f.block, *f[1:4], 0) for f in page]), url,
                 )
                 for column, value in zip(rows, row):
                     column.append(value)

@@ -138,3 +138,10 @@ def test_distinctive_terms(spark):
     for weight in ("tfidf", "dfr"):
         best = {r.doc_id: r.term for r in distinctive.best_term(scored, F.col(weight)).collect()}
         assert best == {0: "rare", 1: "common", 2: "common", 3: "common", 4: "common"}
+
+
+def test_link_blocks_keep_their_text(spark):
+    linked = "<p><a href='/a'>The committee has printed the annual survey of every harbour and its warehouse</a></p>"
+    rows = [_page(k) for k in range(4)] + [_page(9, body="\n".join([f"<p>{s}</p>" for s in SENTENCES[30:32]] + [linked]))]
+    found = {r.page_id: r for r in sitetree.judge_pages(spark.createDataFrame(rows, PAGES), texts=True).collect()}
+    assert 7 in found[9].lines and "annual survey of every harbour" in found[9].text
