@@ -3,8 +3,11 @@
 Under each of some random permutations the smallest and the largest hash of a set are both kept, so one evaluation
 gives two values, each equal for two sets with the probability of their Jaccard similarity (Ji et al., "Min-Max Hash for
 Jaccard Similarity", ICDM 2013). ``ROWS`` values make a band; sets that agree in a whole band are candidates, and candidates
-are verified on the sets themselves. With 48 bands of 5 values a pair of similarity 0.6 is found with a probability of 0.98,
-one of 0.65 with 0.997, one of 0.1 becomes a candidate with 0.0005.
+are verified on the sets themselves. With 96 bands of 5 values a pair of similarity 0.6 is found with a probability of 0.9996,
+one of 0.55 with 0.994, one of 0.1 becomes a candidate with 0.001.
+
+For short sets there is an exact way instead: sets that are alike enough share one of their first few elements, rarest first
+(prefix filter), so the sets that do are all the candidates there can be.
 
 Equal sets are represented by the smallest id before banding, so copies of one text, however many, cost one row and no
 pair; ``expand`` gives them back.
@@ -16,12 +19,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..storage import written
 
-BANDS, ROWS = 48, 5
+BANDS, ROWS = 96, 5
 
 _MOST = 512
 _RANDOM = np.random.default_rng(20_130_101)
@@ -46,7 +49,7 @@ def band_keys(elements: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.
         values = x[at : at + 256, None] * _A[None, :n] + _B[None, :n]
         np.minimum(least, values.min(axis=0), out=least)
         np.maximum(most, values.max(axis=0), out=most)
-    signature = np.concatenate([least, most]).reshape(rows, bands).T  # the two values of a permutation lie in different rows or bands
+    signature = np.concatenate([least, np.roll(most, 1)]).reshape(rows, bands).T  # shifted: no band holds both values of a permutation
     keys = (_spread(signature) * _A[None, -rows:]).sum(axis=1, dtype=np.uint64)
     return (_spread(keys + np.arange(bands, dtype=np.uint64))).view(np.int64)
 
@@ -77,9 +80,22 @@ def candidates(sets: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFra
     return banded.withColumnRenamed("id", "id_a").join(other, "key").where("id_a < id_b").select("id_a", "id_b").distinct()
 
 
-def similar_pairs(sets: DataFrame, threshold: float, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+def sharing(sets: DataFrame, threshold: float) -> DataFrame:
+    """(id_a, id_b), id_a < id_b: pairs that share one of their rarest elements, each once; none of at least this similarity is left out.
+    Of n elements at least threshold * n are common then, so the first n - that + 1 in any common order hold one of them."""
+    each = sets.select("id", F.size("elements").alias("n"), F.explode("elements").alias("e"))
+    owners = each.groupBy("e").agg(F.count("*").alias("owners"))
+    turn = F.row_number().over(Window.partitionBy("id").orderBy("owners", "e"))
+    first = each.join(owners, "e").withColumn("turn", turn).where(F.col("turn") <= F.col("n") - F.ceil(threshold * F.col("n") - 1e-9) + 1).where("owners > 1")
+    first = written(first.select("id", "n", "e"), "prefixes")
+    a, b = (first.select(F.col("id").alias(f"id_{x}"), F.col("n").alias(f"n_{x}"), "e") for x in "ab")
+    sized = F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b") - 1e-9
+    return a.join(b, "e").where("id_a < id_b").where(sized).select("id_a", "id_b").distinct()
+
+
+def similar_pairs(sets: DataFrame, threshold: float, bands: int = BANDS, rows: int = ROWS, exact: bool = False) -> DataFrame:
     """(id_a, id_b, similarity) of the candidate pairs whose sets have at least this Jaccard similarity."""
-    pairs = written(candidates(sets, bands, rows), "candidates")
+    pairs = written(sharing(sets, threshold) if exact else candidates(sets, bands, rows), "candidates")
     needed = pairs.select(F.explode(F.array("id_a", "id_b")).alias("id")).distinct()
     elements = sets.join(needed, "id", "left_semi").select("id", "elements")
     both = (
@@ -91,12 +107,12 @@ def similar_pairs(sets: DataFrame, threshold: float, bands: int = BANDS, rows: i
     return both.where(F.col("common") >= threshold * F.col("all") - 1e-9).select("id_a", "id_b", (F.col("common") / F.col("all")).alias("similarity"))
 
 
-def near_duplicates(sets: DataFrame, threshold: float, bands: int = BANDS, rows: int = ROWS) -> tuple[DataFrame, DataFrame]:
-    """(pairs of representatives, members): see ``similar_pairs`` and ``representatives``. Rows with a null id or without
+def near_duplicates(sets: DataFrame, threshold: float, bands: int = BANDS, rows: int = ROWS, exact: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(pairs of representatives, members): see ``similar_pairs`` and ``representatives``. ``exact`` is for short sets. Rows with a null id or without
     elements have no near duplicate. ``sets`` is read several times, so it should be a table; members and candidates are written to the
     shared folder, so that each is computed once and no plan holds the others."""
     reps, members = representatives(sets)
-    return similar_pairs(reps, threshold, bands, rows), members
+    return similar_pairs(reps, threshold, bands, rows, exact), members
 
 
 def expand(pairs: DataFrame, members: DataFrame) -> DataFrame:

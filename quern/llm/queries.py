@@ -54,7 +54,7 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     lists = _table(spark, sf_dir, "docinfo").where("doc_id is not null").select("doc_id", "built_at", "dup_urls").withColumn("turn", F.row_number().over(latest)).where("turn = 1")
     sets = neardup.value_sets(lists.select(F.col("doc_id").alias("id"), F.col("dup_urls").alias("items"))).where(F.size("elements") >= ENTRIES)
     sets = written(sets, "lists")
-    docs = neardup.expand(*neardup.near_duplicates(sets, ALIKE, bands=64, rows=4))  # short lists: more bands, few rows
+    docs = neardup.expand(*neardup.near_duplicates(sets, ALIKE, exact=True))  # short lists
     return pages.select(F.lit("page").alias("kind"), "id_a", "id_b").unionByName(docs.select(F.lit("docinfo").alias("kind"), "id_a", "id_b"))
 
 
