@@ -170,6 +170,7 @@ def _block(branch: int, path: str, tag: str, part: str, lines: list[int]) -> Blo
 
 _BULLET = re.compile(r"^\s*(?:[*•·-]|\d+[.)])\s+")
 _MENU = re.compile(r"\s{2,}|\s[/|>·›-]\s|\t")
+_ODD_BLANK = re.compile("[\u2000-\u200a\u205f\u3000]")
 _COLUMNS = (re.compile(r"\s*\t\s*"), re.compile(r" {2,}"), re.compile(r"\s\|\s"))
 
 
@@ -222,6 +223,8 @@ def _plain_blocks(source: str) -> list[Block]:
     parts: list[str] = []
     lines: list[int] = []
     shown = [html.unescape(line) if "&" in line else line for line in source.split("\n")]
+    if "\t" in source and _ODD_BLANK.search(source):  # blanks of every kind between words set no columns
+        shown = [" ".join(line.split()) for line in shown]
     rows = _table_rows(shown) if _MENU.search(source) else set()
 
     def flush(tag: str = "line") -> None:

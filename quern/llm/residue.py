@@ -1,7 +1,9 @@
 """Detectors of template leftovers, filler, error text and script notices, for single sentences of a block.
 
-A sentence counts as residue only if the pattern covers most of it, so a sentence that writes about an error page
-or quotes a notice does not.
+They need no list of known notices: an unfilled field shows by its syntax, filler by its vocabulary, a program's error by
+identifiers, paths and codes among its words, and a notice by how many of its words are about pages, servers, browsers and
+scripts. A sentence counts only if such words carry it, so one that writes about an error page or quotes a notice does not.
+Sentences of any length are looked at. What the detectors don't know, the evidence of the hosts tells (``sitetree``).
 """
 
 from __future__ import annotations
@@ -11,61 +13,50 @@ from functools import lru_cache
 
 # How the common template languages write an unfilled field.
 PLACEHOLDER = re.compile(
-    r"\{\{[^{}\n]{0,60}\}\}|\{%[^%\n]{0,60}%\}|<%=?[^%\n]{0,60}%>|[#$]\{[^{}\n]{0,60}\}|@@[\w.]{1,40}@@|\[\[[\w. ]{1,40}\]\]"
-    r"|%[A-Z][A-Z0-9_.]{1,40}%|\b__[A-Za-z][\w.]{0,40}?__|\[[A-Z0-9_. ]{2,40} (?:GOES )?HERE\]|\[(?:insert|your|add) [^\]\n]{1,40}\]",
+    r"\{\{[^{}\n]*\}\}|\{%[^%\n]*%\}|<%=?[^%\n]*%>|[#$]\{[^{}\n]*\}|@@[\w.]+@@|\[\[[\w. ]+\]\]|(?<![\w{])\{[A-Za-z_][\w. ]*\}(?!\})"
+    r"|%[A-Z][A-Z0-9_.]+%|%[({][\w.]+[)}]s?|\b__[A-Za-z][\w.]*?__|\[[A-Z0-9_. ]+ (?:GOES )?HERE\]|\[(?:insert|your|add|enter) [^\]\n]+\]",
     re.I,
 )
+_FIELD = re.compile(r"[{%<@#$]|\[[\[A-Za-z]|__")
 
 # Words of filler text.
 FILLER = frozenset(
     "lorem ipsum dolor sit amet consectetur adipiscing elit sed eiusmod tempor incididunt labore dolore magna aliqua enim minim veniam "
     "quis nostrud exercitation ullamco laboris nisi aliquip commodo consequat duis aute irure reprehenderit voluptate velit cillum "
     "fugiat nulla pariatur excepteur sint occaecat cupidatat proident culpa officia deserunt mollit anim laborum "
-    "asdf qwerty foo bar baz blah tbd todo xxx".split()
+    "asdf qwerty foo bar baz blah tbd todo xxx placeholder".split()
 )
 
-# How such texts begin or read, by kind, in the languages of the crawl.
-_NOTICES = [
-    # sample copy of editors and themes
-    r"your (?:heading|title|text|content) (?:goes )?here|click to edit|insert (?:description|benefits?|text|title|image)\b|sample (?:text|page)|"
-    r"replace this (?:paragraph|text)|todo\b|this is a (?:demo|sample|test) (?:page|post)|delete it and start writing|(?:text ){3,}|placeholder\b|"
-    r"coming soon|hello world|just another .{0,20} site|hier steht .{0,20}text|beispieltext|blindtext|texto de (?:ejemplo|exemplo)|texte d exemple|"
-    r"insira (?:aqui|o texto)|inserte (?:aquí|el texto)|ins[ée]rez (?:ici|votre texte)|voorbeeldtekst|vul hier",
-    # error pages
-    r"(?:error|erro|erreur|fehler|fout|http)(?: code)? \d{3}|\d{3} (?:not found|forbidden|bad gateway|internal server error|service (?:temporarily )?unavailable|"
-    r"gateway time ?out|gone|error|too many requests|unauthorized|moved)|page not found|not found|access denied|forbidden|bad gateway|gone$|"
-    r"internal server error|service (?:temporarily )?unavailable|gateway time ?out|too many requests|the (?:upstream|server) (?:did not|could not|encountered|met|is)|please contact the|unable to complete|"
-    r"the (?:page|url|file|document|resource|requested url)\b.{0,40}(?:not found|does not exist|no longer|could not be|was not found|has (?:been )?moved)|"
-    r"back ?end fetch failed|guru (?:ticket|meditation)|error establishing|fatal error|warning \w+|parse error|uncaught|stack trace|traceback|"
-    r"\w+(?:\.\w+)*(?:exception|error)\b|at \w+(?: \w+)* (?:java|php|py|js) \d+|\d+ (?:\w+ )*(?:inc|php|py)\b.*load|\d+ main thrown|file opt|keyerror|"
-    r"maybe the link|something went wrong|we could not (?:load|find)|could not (?:load|be loaded)|try (?:again|reloading)|please try again|"
-    r"sorry (?:this|the|we)|this (?:article|page|content|story|video) (?:is|has|was|could|cannot|can t)|content (?:is )?(?:not available|unavailable)|"
-    r"you (?:don t|do not) have permission|permission denied|reference \d|there is nothing (?:at|here)|nothing (?:was )?found|no (?:results|such page)|"
-    r"slow down|your (?:ip|network|address)\b|rate limit|confirm that you are human|verify (?:that )?you are|are you (?:a )?(?:human|robot)|request id|"
-    r"checking your browser|this takes a few|(?:one|just a) moment|redirecting|you are being redirected|session (?:has )?expired|"
-    r"our (?:site|website) is|we ll be (?:right )?back|please check (?:again|back)|check back|under (?:construction|maintenance)|down for maintenance|scheduled maintenance|account suspended|this domain|"
-    r"p[áa]gina (?:no|n[ãa]o) (?:encontrad|dispon)|(?:no existe|n[ãa]o existe)\b|el servidor|o servidor|erro(?:r)? intern[oa]?|vuelva a intentarlo|tente (?:mais tarde|novamente)|"
-    r"ocorreu (?:um|algum)|se ha producido|acceso denegado|acesso negado|este (?:contenido|art[íi]culo|conte[úu]do|artigo)|contenido no disponible|conte[úu]do (?:indispon|n[ãa]o)|"
-    r"page introuvable|une erreur|erreur interne|merci de r[ée]essayer|ce contenu|cet article|acc[èe]s (?:refus|interdit)|le serveur|service indisponible|la page (?:demand|que)|il n y a rien|"
-    r"seite nicht|dieser inhalt|dieser artikel|der dienst|der server|ein (?:interner )?fehler|interner|zugriff verweigert|bitte versuchen sie|die (?:angeforderte )?seite|unter .{0,30} gibt es|hier gibt es|es ist ein|"
-    r"pagina niet|deze (?:pagina|inhoud)|dit artikel|er (?:is|ging) (?:iets|een)|toegang geweigerd|probeer het|de server|de dienst|de pagina|interne (?:server)?fout|er staat niets|op .{0,30} staat niets",
-    # notices that scripts are needed
-    r"(?:please )?(?:turn on|enable|activate|switch on) (?:java ?script|scripts?)|you need to (?:enable|turn on|switch on)|java ?script (?:is )?(?:required|disabled|must|needed|off)|scripts? (?:is|are) (?:off|disabled|blocked)|"
-    r"your browser (?:does not|doesn t|blocks?|has|is)|this (?:site|app|page) (?:works only|requires|needs)|loading\b|if nothing happens|"
-    r"(?:por favor )?(?:active|activa|habilite|ative)\b.{0,12}(?:java ?script|scripts?)|su navegador|(?:o )?seu navegador|esta (?:aplicaci[óo]n|aplica[çc][ãa]o|p[áa]gina|web)|este (?:sitio|site) (?:solo|s[óo]|necesita|precisa|funciona)|cargando|carregando|"
-    r"(?:veuillez )?activ(?:er|ez) (?:java ?script|les scripts)|votre navigateur|cette (?:application|page) (?:n[ée]cessite|a besoin|ne)|chargement|"
-    r"(?:bitte )?(?:aktivieren|schalten) sie|ohne (?:skripte|java ?script)|ihr browser|diese (?:anwendung|seite|app) (?:ben[öo]tigt|braucht|funktioniert)|java ?script (?:ist|wird)|"
-    r"(?:zet|schakel) (?:java ?script|scripts)|zonder (?:java ?script|scripts)|uw browser|deze (?:toepassing|app|site) (?:heeft|werkt)|java ?script is|wird geladen|wordt geladen",
-]
-_NOTICE = re.compile(r"(?:\d+ )?(?:" + "|".join(_NOTICES) + ")")
-# Openings of program errors, which may be long.
-_TRACE = re.compile(r"fatal error|uncaught|traceback|sqlstate|java lang|\w+exception\b|keyerror|at \w+ web|\d+ srv")
+# Words that notices are about; of at least every fifth word of a notice is one of these or those below.
+CUES = frozenset(
+    (
+        "error errors exception failed failure fatal warning uncaught traceback undefined unavailable forbidden unauthorized denied blocked gone "
+        "suspended expired exceeded overloaded maintenance timeout timed gateway connection backend requested found javascript enable enabled disabled reload loading "
+        "redirecting redirected retry captcha robot permission sorry oops dummy lorem ipsum insert sample "
+        "erreur introuvable trouvée trouvé indisponible activer activez désactivé interdit refusé réessayer réessayez chargement survenue "
+        "fehler gefunden verfügbar aktivieren deaktiviert verweigert geladen wartung "
+        "encontrada encontrado activar active denegado disponible cargando erro ative ativar negado disponível carregando ocorreu "
+        "fout gevonden beschikbaar schakel geweigerd"
+    ).split()
+)
+WEAK_CUES = frozenset(
+    (
+        "page url address site website content browser script scripts server service request requests database upstream click edit text heading placeholder temporarily offline human "
+        "navigateur serveur contenu adresse texte seite dienst zugriff inhalt página pagina navegador servidor servicio contenido texto serviço conteúdo toegang inhoud tekst"
+    ).split()
+)
+# Words in quotes, paths, calls and codes of a program.
+_CODE = re.compile(r"""\S*[/\\=_]\S*|\S*\w\.\w\S*|["'«“][\w.]+["'»”]|\w+\[\w*\]|\b\w+(?:Error|Exception)\b|\b(?:[45]\d\d|HTTP)\b""")
 _SENTENCE = re.compile(r"(?<=[.!?…])\s+")
 _WORD = re.compile(r"[^\W_]+")
 
-#: A sentence that opens like a notice but is longer than this many words is an article's own.
-NOTICE_WORDS = 16
-TRACE_WORDS = 40
+
+def may_be_residue(text: str, low: list[str]) -> bool:
+    """Whether a block can hold any residue: a cheap test that never rules out a block that does."""
+    return not CUES.isdisjoint(low) or not FILLER.isdisjoint(low) or _FIELD.search(text) is not None or any(w.endswith(_FAULTS) for w in low)
+
+
+_FAULTS = ("error", "exception")
 
 
 @lru_cache(maxsize=20_000)
@@ -73,15 +64,14 @@ def residue_words(text: str) -> int:
     """How many of the text's words belong to sentences that are residue."""
     total = 0
     for sentence in _SENTENCE.split(text):
-        ws = _WORD.findall(sentence)
-        if not ws:
+        low = _WORD.findall(sentence.lower())
+        n = len(low)
+        if not n:
             continue
-        held = sum(len(_WORD.findall(m)) for m in PLACEHOLDER.findall(sentence))
-        low = [w.lower() for w in ws]
-        if held and (4 * held >= len(ws) or len(ws) <= 8):
-            total += len(ws)
-        elif 2 * sum(w in FILLER for w in low) > len(low):
-            total += len(ws)
-        elif len(ws) <= NOTICE_WORDS and _NOTICE.match(" ".join(low)) or len(ws) <= TRACE_WORDS and _TRACE.match(" ".join(low)):
-            total += len(ws)
+        held = sum(len(_WORD.findall(m)) for m in PLACEHOLDER.findall(sentence)) if _FIELD.search(sentence) else 0
+        cues = sum(w in CUES or w.endswith(_FAULTS) for w in low)
+        if cues:
+            cues += sum(map(WEAK_CUES.__contains__, low)) + sum(len(_WORD.findall(m)) for m in _CODE.findall(sentence))
+        if 4 * held >= n and held or held and n <= 8 or 2 * sum(map(FILLER.__contains__, low)) > n or 5 * cues >= n and (cues > 1 or cues and n < 4):
+            total += n
     return total

@@ -13,12 +13,14 @@ from urllib.parse import urlsplit
 import xxhash
 
 from .pagetext import Block, blocks, is_item
-from .residue import FILLER, residue_words
+from .residue import may_be_residue, residue_words
 from .stuffing import chunks
 
 _WORD = re.compile(r"[^\W_]+")
 _STOP = re.compile(r"[.!?…。][\"'»”)\]]*$")
-_MAYBE = re.compile(r"[{%<@$#]|\[\[|__|\[[A-Z]")
+# What isn't a word of a language: addresses, file names, identifiers, quoted names.
+_CODE = re.compile(r"""\S*[/\\@=_]\S*|\S*\w\.\w\S*|["'‘’“”«»][\w.]+["'‘’“”«»]""")
+_CODED = re.compile(r"""[/\\@=_"'‘’“”«»]|\w\.\w""")
 _CRUMB = re.compile(r"\S\s[>›»|]\s\S")
 _LABEL = re.compile(r"^([^:]{2,40}?)\s?: ")
 
@@ -36,17 +38,21 @@ FUNCTION_WORDS = frozenset(
 # Names of elements and classes that say what they hold.
 _MAIN_NAMES = re.compile(r"(?:^|/)(?:main|article)\b|\.(?:content|article|entry|post|story)\b", re.I)
 
-_is_function, _is_filler = FUNCTION_WORDS.__contains__, FILLER.__contains__
+_is_function = FUNCTION_WORDS.__contains__
 
 PROSE, HEAP, LINKS, STOPPED = 1, 2, 4, 8
 #: Index of a branch's own row among a page's signatures: BRANCH_ROW + its branch number.
 BRANCH_ROW = 1_000_000
-#: Blocks of more words are not counted as nodes that pages may share.
-LONG = 60
+#: Index of a word of a page's heaps among its signatures: WORD_ROW + its number.
+WORD_ROW = 2_000_000
 #: Tags of lines without markup that are set in columns, be they menus or tables.
 COLUMNS = ("menu", "row")
 #: A branch with fewer words of prose counts as noise when the trees are merged.
 REST = 25
+#: A page with so many other words of prose has an article beside a block: more than notices and footers have.
+BESIDE = 60
+#: How a node occurs: in a branch without other prose, in one with, in a page without markup; and besides, with an article elsewhere.
+AMID, NOISY, PLAIN, WITH_ARTICLE = 0, 1, 2, 4
 
 
 class Facts(NamedTuple):
@@ -107,12 +113,12 @@ def _name_parts(names: set[str], tokens: list[list[str]]) -> set[str]:
     """Words of the page that, written together, make up the site's name."""
     if not names:
         return set()
-    seen = {w for ws in tokens if len(ws) <= 40 for w in ws}
+    seen = {w for ws in tokens for w in ws}
     return {x for name in names for w in seen if len(w) < len(name) and name.startswith(w) and name[len(w) :] in seen for x in (w, name[len(w) :])}
 
 
-def facts(source: str | None, host: str) -> list[Facts]:
-    """The blocks of a page with what they show by themselves."""
+def facts(source: str | None, host: str, spoken: set[str] | None = None) -> list[Facts]:
+    """The blocks of a page with what they show by themselves; ``spoken`` gets the words of its prose."""
     page = blocks(source)
     if not page:
         return []
@@ -133,20 +139,19 @@ def facts(source: str | None, host: str) -> list[Facts]:
         function = sum(map(_is_function, low))
         stop = _STOP.search(text[-8:]) is not None
         kind = STOPPED if stop else 0
-        residue = residue_words(text) if b.branch and (n <= 24 or _MAYBE.search(text) or any(map(_is_filler, low))) else 0
+        residue = residue_words(text) if b.branch and may_be_residue(text, low) else 0
         if _heap(low, function):
             kind |= HEAP
         elif 2 * residue <= n and function >= 0.1 * n and (n >= 4 and stop or n >= 9) and b.tag not in COLUMNS and not (not stop and _CRUMB.search(text)):
             if not (text.endswith("…") and ":" in text and n <= 22 and text.count("…") == 1):
                 kind |= PROSE
-        if n > LONG:
-            masked = " ".join(low)
+                if spoken is not None:
+                    spoken.update(low)
+        label = _LABEL.match(text) if n <= 14 and not stop and ":" in text else None
+        if label and len(_WORD.findall(label.group(1))) <= 3:
+            masked = _mask(_WORD.findall(label.group(1).lower()), names, parts) + ":"
         else:
-            label = _LABEL.match(text) if n <= 14 and not stop and ":" in text else None
-            if label and len(_WORD.findall(label.group(1))) <= 3:
-                masked = _mask(_WORD.findall(label.group(1).lower()), names, parts) + ":"
-            else:
-                masked = _mask(low, names, parts)
+            masked = _mask(_WORD.findall(_CODE.sub(" 0 ", text.lower())) if _CODED.search(text) else low, names, parts)
         out.append(Facts(b, n, kind, residue, hash64(masked)))
     return out
 
@@ -157,35 +162,88 @@ def article_key(page: list[Facts], host: str) -> int:
     return best.sig if best else hash64("host " + host)
 
 
-def signatures(page: list[Facts]) -> list[tuple[int, int, int | None]]:
-    """(index, signature, noise) of the nodes that the site tree counts: blocks that are not links, and branches.
-    noise is 1 in a branch with hardly any other prose, 0 in one with prose, None in a page without markup."""
+def heap_words(page: list[Facts]) -> list[str]:
+    """The different words of a page's heaps, apart from those with digits, in order."""
+    return list(dict.fromkeys(w for f in page if f.kind & HEAP and f.block.branch for w in _WORD.findall(f.block.text.lower()) if w.isalpha()))
+
+
+def signatures(page: list[Facts]) -> list[tuple[int, int, int]]:
+    """(index, signature, how) of the nodes that the site tree counts: blocks that are not links, branches, and words of heaps. how
+    is NOISY in a branch with hardly any other prose, AMID in one with prose, PLAIN without markup; and WITH_ARTICLE is added
+    where the page has an article's worth of prose besides."""
     prose: dict[int, int] = {}
     path: dict[int, str] = {}
+    total = 0
     for f in page:
         b = f.block
         if b.branch:
             path[b.branch] = b.path
-            prose[b.branch] = prose.get(b.branch, 0) + (f.words if f.kind & PROSE else 0)
-    out: list[tuple[int, int, int | None]] = []
+            own = f.words if f.kind & PROSE else 0
+            prose[b.branch] = prose.get(b.branch, 0) + own
+            total += own
+    out: list[tuple[int, int, int]] = []
     for i, f in enumerate(page):
         b = f.block
-        if b.branch and not f.kind & LINKS and f.words <= LONG:
-            # a block's own prose says nothing about itself: the rest of its branch does
-            rest = prose[b.branch] - (f.words if f.kind & PROSE else 0)
-            out.append((i, f.sig, None if b.path == "text" else int(rest < REST)))
+        if b.branch and not f.kind & LINKS:
+            # a block's own prose says nothing about itself: the rest of its branch and of the page does
+            own = f.words if f.kind & PROSE else 0
+            how = PLAIN if b.path == "text" else NOISY if prose[b.branch] - own < REST else AMID
+            out.append((i, f.sig, how + (WITH_ARTICLE if total - own >= BESIDE else 0)))
     for k, p in path.items():
         if p and p not in ("text", "td"):
-            out.append((BRANCH_ROW + k, hash64("path " + p), int(prose[k] < REST)))
+            out.append((BRANCH_ROW + k, hash64("path " + p), NOISY if prose[k] < REST else AMID))
+    how = PLAIN + (WITH_ARTICLE if total >= BESIDE else 0)
+    out += [(WORD_ROW + k, word_node(w), how) for k, w in enumerate(heap_words(page))]
     return out
 
 
+def _is_speech(block: Block) -> bool:
+    """Whether a block isn't an item of a list or a cell of a table of data."""
+    return block.tag in ("p", "h", "line") or block.tag == "td" and (block.path == "td" or block.path.endswith("/td"))
+
+
+def word_node(word: str) -> int:
+    return hash64("word " + word)
+
+
 class Known(NamedTuple):
-    """What the merged trees say of a page: which blocks are of low importance, and in what percentage of its occurrences the style
-    path of a branch holds no prose (on the host if that has enough pages, else in the crawl)."""
+    """What the merged trees say of a page: which blocks are of low importance, in what percentage of its occurrences the style
+    path of a branch holds no prose (on the host if that has enough pages, else in the crawl), which blocks many sites answer with
+    where no article is, and which of ``heap_words`` are of the kind that only fills space."""
 
     low: frozenset[int]
     noisy: dict[int, int]
+    answers: frozenset[int] = frozenset()
+    fill: frozenset[int] = frozenset()
+
+
+def with_evidence(page: list[Facts], known: Known, url: str | None) -> list[Facts]:
+    """The facts of a page once its answers and filler are known: those count as residue unless they share a term with the
+    address, the title or the headings, of which an article is told by. A title or heading that is an answer itself doesn't count."""
+    if not known.answers and not known.fill:
+        return page
+    heads = [i for i, f in enumerate(page) if f.block.tag in ("title", "h")]
+    said = {w for i in known.answers for w in _WORD.findall(page[i].block.text.lower())}
+    own = {w for w in re.findall(r"[^\W\d_]{3,}", (url or "").lower().partition("://")[2].partition("/")[2].partition("?")[0])}
+    for i in heads:
+        ws = set(_WORD.findall(page[i].block.text.lower())) - FUNCTION_WORDS
+        if i not in known.answers and not page[i].residue and not ws <= said:
+            own |= ws
+    fill: set[str] = set()
+    if known.fill:
+        ws = heap_words(page)
+        fill = {ws[k] for k in known.fill if k < len(ws)} - own
+    out = []
+    for i, f in enumerate(page):
+        if 2 * f.residue <= f.words:
+            if i in known.answers and _is_speech(f.block) and own.isdisjoint(_WORD.findall(f.block.text.lower())):
+                f = f._replace(residue=f.words, kind=f.kind & STOPPED)
+            elif fill and f.kind & HEAP:
+                held = sum(w in fill for w in _WORD.findall(f.block.text.lower()))
+                if 2 * held > f.words:
+                    f = f._replace(residue=f.words, kind=f.kind & STOPPED)
+        out.append(f)
+    return out
 
 
 class Verdict(NamedTuple):
@@ -199,8 +257,9 @@ class Verdict(NamedTuple):
 NOTHING = Known(frozenset(), {})
 
 
-def verdict(page: list[Facts], known: Known = NOTHING) -> Verdict:
+def verdict(page: list[Facts], known: Known = NOTHING, url: str | None = None) -> Verdict:
     """The main body of a page, and how its words divide into residue, prose, heap and other."""
+    page = with_evidence(page, known, url)
     low = [i in known.low and not f.residue for i, f in enumerate(page)]
     text = bool(page) and page[-1].block.path == "text"
     main = _main_text(page, low) if text else _main_markup(page, low, known)
@@ -216,8 +275,6 @@ def verdict(page: list[Facts], known: Known = NOTHING) -> Verdict:
         if not residue or f.kind & PROSE or f.kind & HEAP and f.block.tag not in COLUMNS or not f.kind & LINKS and f.words >= 12 and f.block.tag not in (*COLUMNS, "li"):
             rest.append(f)
     other = sum(f.words for f in rest)
-    if not residue and not other:
-        residue = _repeated_response(page, low, known)
     return Verdict(lines, "\n".join(page[i].block.text for i in main), residue, other, chunks([(f.block.text, f.words, bool(f.kind & PROSE), bool(f.kind & (HEAP | LINKS)) or f.words < 8 or f.block.tag in COLUMNS) for f in rest]))
 
 
@@ -229,21 +286,6 @@ def _top_heading(page: list[Facts], body: list[int], i: int) -> bool:
     return page[i].block.path == "text" and i == first and len(body) > 1 and page[i].words <= 10 and not page[i].residue and not page[i].kind & (PROSE | HEAP)
 
 
-def _repeated_response(page: list[Facts], low: list[bool], known: Known) -> int:
-    """Words of a body that holds nothing but what many pages or hosts answer alike, sharing no term with title or heading."""
-    own = {w for f in page if f.block.tag in ("title", "h") and not f.residue for w in _WORD.findall(f.block.text.lower())} - FUNCTION_WORDS
-    total = 0
-    for k, members in _branches(page).items():
-        path = page[members[0]].block.path
-        noisy = known.noisy.get(k)
-        if path == "text" or not (_MAIN_NAMES.search(path) or noisy is not None and noisy < 50 or any(page[i].block.tag == "h" for i in members)):
-            continue
-        for i in members:
-            if low[i] and page[i].block.tag != "h" and not own & set(_WORD.findall(page[i].block.text.lower())):
-                total += page[i].words
-    return total
-
-
 def _branches(page: list[Facts]) -> dict[int, list[int]]:
     out: dict[int, list[int]] = {}
     for i, f in enumerate(page):

@@ -14,6 +14,7 @@ back on (signature, host, salt), so a host or a footer that owns a third of the
 from __future__ import annotations
 
 import marshal
+from collections import Counter
 from collections.abc import Iterator
 from functools import partial
 
@@ -23,15 +24,17 @@ from pyspark.sql import functions as F
 
 from ..storage import keep
 from .pagetext import Block, visible_key
-from .siteblocks import BRANCH_ROW, Facts, Known, article_key, facts, hash64, host_of, signatures, verdict
+from .siteblocks import BRANCH_ROW, NOISY, WITH_ARTICLE, WORD_ROW, Facts, Known, article_key, facts, hash64, host_of, signatures, verdict, word_node
 from .stuffing import CHUNK_TYPE, flag_stuffed
 
 SALTS = 16
-#: Hosts and articles are told apart by 44 bits, the versions of a page by 16: fewer bytes to shuffle.
-NARROW, TIE = (1 << 44) - 1, (1 << 16) - 1
 #: Above this share of occurrences without other prose around a repeated block is of low importance.
 NOISE = 0.7
 BATCH = 500
+#: A node is an answer of sites if so many hosts have it and at most this share of its occurrences is on pages with an article.
+HOSTS, ANSWER = 3, 0.2
+#: Words that a task counts before it hands its counts on.
+WORDS = 200_000
 
 _PARSED = (
     "page_id long, loaded long, tie long, host long, article long, idx array<int>, sig array<long>, noise array<byte>, "
@@ -55,6 +58,7 @@ def _parse(batches: Iterator[pa.RecordBatch], keys: bool = True) -> Iterator[pa.
         [("page_id", pa.int64()), ("loaded", pa.int64()), ("tie", pa.int64()), ("host", pa.int64()), ("article", pa.int64()), ("idx", pa.list_(pa.int32())),
          ("sig", pa.list_(pa.int64())), ("noise", pa.list_(pa.int8())), ("visible", pa.string()), ("body", pa.binary()), ("url", pa.string())]
     )
+    spoken: Counter[str] = Counter()
     for whole in batches:
         for at in range(0, whole.num_rows, BATCH):
             batch = whole.slice(at, BATCH)
@@ -62,16 +66,28 @@ def _parse(batches: Iterator[pa.RecordBatch], keys: bool = True) -> Iterator[pa.
             rows: list[list] = [[] for _ in kinds]
             for page_id, url, source, when in zip(ids, urls, sources, loaded):
                 host = host_of(url)
-                page = facts(source, host)
+                page = facts(source, host, words := set())
+                spoken.update(words)
                 nodes = signatures(page)
                 key = visible_key(source) if keys else ""
                 row = (
-                    page_id, when, hash64(source or "") & TIE, hash64(host) & NARROW, article_key(page, host) & NARROW, [n[0] for n in nodes], [n[1] for n in nodes],
+                    page_id, when, hash64(source or ""), hash64(host), article_key(page, host), [n[0] for n in nodes], [n[1] for n in nodes],
                     [n[2] for n in nodes], _digest(key), marshal.dumps([(*f.block, *f[1:4], 0) for f in page]), url,
                 )
                 for column, value in zip(rows, row):
                     column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(c, kind.type) for c, kind in zip(rows, kinds)], schema=kinds)
+            if len(spoken) > WORDS:
+                yield _vocabulary(spoken, kinds)
+                spoken.clear()
+    if spoken:
+        yield _vocabulary(spoken, kinds)
+
+
+def _vocabulary(spoken: Counter[str], kinds: pa.Schema) -> pa.RecordBatch:
+    """A row without an id: in how many of a task's pages each word is in prose."""
+    known = {"idx": [list(spoken.values())], "sig": [[word_node(w) for w in spoken]]}
+    return pa.RecordBatch.from_arrays([pa.array(known.get(kind.name, [None]), kind.type) for kind in kinds], schema=kinds)
 
 
 def _digest(key: str) -> str | None:
@@ -94,38 +110,60 @@ def _judge(batches: Iterator[pa.RecordBatch], texts: bool = True) -> Iterator[pa
             for page_id, tie, key, body, url, when, *seen in zip(*columns):
                 page = [Facts(Block(*f[:6]), *f[6:]) for f in marshal.loads(body)]
                 own = [e[1:] for e in zip(*seen) if e[0] == tie] if seen[0] else []
-                known = Known(frozenset(i for i, _ in own if i < BRANCH_ROW), {i - BRANCH_ROW: n for i, n in own if i >= BRANCH_ROW})
-                v = verdict(page, known)
+                known = Known(
+                    frozenset(i for i, n in own if i < BRANCH_ROW and n & LOW), {i - BRANCH_ROW: n for i, n in own if BRANCH_ROW <= i < WORD_ROW},
+                    frozenset(i for i, n in own if i < BRANCH_ROW and n & ANSWERED), frozenset(i - WORD_ROW for i, _ in own if i >= WORD_ROW),
+                )
+                v = verdict(page, known, url)
                 for column, value in zip(rows, (page_id, v.lines, v.text if texts else None, v.residue, v.other, [dict(zip(names, c)) for c in v.chunks], key, url, when)):
                     column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(c, kind.type) for c, kind in zip(rows, kinds)], schema=kinds)
 
 
+LOW, ANSWERED = 1, 2
+
+
 def _evidence(parsed: DataFrame) -> DataFrame:
     """(page_id, tie, node, value): what the merged trees say of the nodes of each page that they say anything of. A block is
-    listed if it is of low importance; a branch has the percentage of its style path's occurrences without prose."""
-    nodes = parsed.select("page_id", "tie", "host", "article", F.explode(F.arrays_zip("idx", "sig", "noise")).alias("n")).select(
-        "page_id", F.col("tie").cast("int").alias("tie"), "host", "article", "n.idx", "n.sig", "n.noise"
+    listed if it is of low importance or an answer of many sites; a branch has the percentage of its style path's occurrences
+    without prose; a word of a heap is listed if heaps of many hosts have it and prose hardly ever."""
+    nodes = parsed.where("page_id is not null").select("page_id", "tie", "host", "article", F.explode(F.arrays_zip("idx", "sig", "noise")).alias("n")).select(
+        "page_id", "tie", "host", "article", "n.idx", "n.sig", "n.noise"
     )
+    spoken = parsed.where("page_id is null").select(F.explode(F.arrays_zip("idx", "sig")).alias("n")).groupBy(F.col("n.sig").alias("sig")).agg(F.sum("n.idx").alias("spoken"))
     salt = F.pmod("article", F.lit(SALTS)).cast("int")
-    by_article = nodes.groupBy("sig", "host", "article").agg(F.sum("noise").cast("int").alias("noisy"), F.count("noise").cast("int").alias("of"))
-    by_host = by_article.groupBy("sig", "host").agg(F.count("*").cast("int").alias("pages"), F.sum("noisy").alias("noisy"), F.sum("of").alias("of"), F.collect_set(salt).alias("salts"))
-    by_crawl = by_host.groupBy("sig").agg(F.count("*").cast("int").alias("hosts"), F.sum("pages").alias("all_pages"), F.sum("noisy").alias("all_noisy"), F.sum("of").alias("all_of")).where("all_pages > 2")
+    how = F.col("noise").bitwiseAND(F.lit(3))
+    by_article = nodes.groupBy("sig", "host", "article").agg(
+        F.count_if(how == NOISY).cast("int").alias("noisy"), F.count_if(how <= NOISY).cast("int").alias("of"), F.count_if(F.col("noise") >= WITH_ARTICLE).cast("int").alias("beside"),
+        F.count("*").cast("int").alias("times"), F.max(F.col("idx") >= WORD_ROW).alias("word"),
+    )
+    sums = [F.sum(c).alias(c) for c in ("noisy", "of", "beside", "times")]
+    by_host = by_article.groupBy("sig", "host").agg(F.count("*").cast("int").alias("pages"), *sums, F.max("word").alias("word"), F.collect_set(salt).alias("salts"))
+    by_crawl = by_host.groupBy("sig").agg(F.count("*").cast("int").alias("hosts"), *(F.sum(c).alias(f"all_{c}") for c in ("pages", "noisy", "of", "beside", "times")), F.max("word").alias("is_word")).where("all_pages > 2")
     here, everywhere = F.try_divide("noisy", "of"), F.try_divide("all_noisy", "all_of")
     # a repeated node amid prose is the article's own; without markup anywhere to tell, what many pages of the host have is not
     low = F.when(everywhere.isNull(), F.col("pages") > 2).otherwise(everywhere >= NOISE)
     noisy = F.when(here.isNotNull() & (F.col("pages") > 2), here).when(F.col("hosts") > 2, everywhere)
+    answer = (F.col("hosts") >= HOSTS) & (F.col("all_beside") <= ANSWER * F.col("all_times"))
+    fill = answer & (F.coalesce("spoken", F.lit(0)) <= ANSWER * F.col("all_pages"))
     tree = (
         by_host.join(by_crawl, "sig")
-        .select(F.xxhash64("sig", "host").alias("node"), low.alias("low"), F.round(100 * noisy).cast("int").alias("noisy"), F.explode("salts").alias("salt"))
-        .where("low or noisy is not null")
-    )
+        .join(spoken, "sig", "left")
+        .select(
+            F.xxhash64("sig", "host").alias("node"),
+            F.when(F.col("is_word"), F.when(fill, 1)).otherwise(F.nullif(F.when(low, LOW).otherwise(0) + F.when(answer, ANSWERED).otherwise(0), F.lit(0))).alias("marks"),
+            F.round(100 * noisy).cast("int").alias("noisy"), F.explode("salts").alias("salt"),
+        )
+        .where("marks is not null or noisy is not null")
+    )
+    branch = f"idx >= {BRANCH_ROW} and idx < {WORD_ROW}"
     return (
         nodes.select("page_id", "tie", "idx", F.xxhash64("sig", "host").alias("node"), salt.alias("salt"))
         .join(tree, ["node", "salt"])
-        .where(f"idx < {BRANCH_ROW} and low or idx >= {BRANCH_ROW} and noisy is not null")
+        .select("page_id", "tie", "idx", F.when(F.expr(branch), F.col("noisy")).otherwise(F.col("marks")).alias("noisy"))
+        .where("noisy is not null")
         .groupBy("page_id")
-        .agg(F.collect_list(F.struct("tie", "idx", F.coalesce("noisy", F.lit(0)).alias("noisy"))).alias("evidence"))
+        .agg(F.collect_list(F.struct("tie", "idx", "noisy")).alias("evidence"))
     )
 
 
@@ -144,7 +182,7 @@ def judge_pages(pages: DataFrame, texts: bool = False, keys: bool = False) -> Da
     """
     parsed = keep(page_rows(pages).mapInArrow(partial(_parse, keys=keys), _PARSED), now=True)
     latest = (
-        parsed.select("page_id", "loaded", "tie", "visible", "body", "url")
+        parsed.where("page_id is not null").select("page_id", "loaded", "tie", "visible", "body", "url")
         .withColumn("turn", F.row_number().over(Window.partitionBy("page_id").orderBy(F.col("loaded").desc_nulls_last(), F.col("tie").desc())))
         .where("turn = 1")
     )
