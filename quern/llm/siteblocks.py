@@ -35,9 +35,6 @@ FUNCTION_WORDS = frozenset(
         "het een van dat niet op te voor deze elke onze hun als door bij werd naar nog sinds"
     ).split()
 )
-# Names of elements and classes that say what they hold.
-_MAIN_NAMES = re.compile(r"(?:^|/)(?:main|article)\b|\.(?:content|article|entry|post|story)\b", re.I)
-
 _is_function = FUNCTION_WORDS.__contains__
 
 PROSE, HEAP, LINKS, STOPPED = 1, 2, 4, 8
@@ -51,6 +48,8 @@ COLUMNS = ("menu", "row")
 REST = 25
 #: A page with so many other words of prose has an article beside a block: more than notices and footers have.
 BESIDE = 60
+#: Percentage of importance from which a branch is main.
+KEEP = 90
 #: How a node occurs: in a branch without other prose, in one with, in a page without markup; and besides, with an article elsewhere.
 AMID, NOISY, PLAIN, WITH_ARTICLE = 0, 1, 2, 4
 
@@ -167,33 +166,47 @@ def heap_words(page: list[Facts]) -> list[str]:
     return list(dict.fromkeys(w for f in page if f.kind & HEAP and f.block.branch for w in _WORD.findall(f.block.text.lower()) if w.isalpha()))
 
 
-def signatures(page: list[Facts]) -> list[tuple[int, int, int]]:
-    """(index, signature, how) of the nodes that the site tree counts: blocks that are not links, branches, and words of heaps. how
-    is NOISY in a branch with hardly any other prose, AMID in one with prose, PLAIN without markup; and WITH_ARTICLE is added
-    where the page has an article's worth of prose besides."""
+def elements(page: list[Facts]) -> dict[int, str]:
+    """The node of the site tree that each branch is merged into: its style path, and for cells that lay out a page which of how
+    many they are."""
+    path = {f.block.branch: f.block.path for f in page if f.block.branch}
+    cells = Counter(p for p in path.values() if p == "td" or p.endswith("/td"))
+    seen: Counter[str] = Counter()
+    out = {}
+    for k, p in path.items():
+        if p in cells:
+            seen[p] += 1
+            p = f"{p} {seen[p]}/{cells[p]}"
+        out[k] = p
+    return out
+
+
+def signatures(page: list[Facts]) -> list[tuple[int, int, int, int, int]]:
+    """(index, signature, how, words, element) of the nodes that the site tree counts: blocks that are not links, branches, and words
+    of heaps. how is NOISY in a branch with hardly any other prose, AMID in one with prose, PLAIN without markup; and
+    WITH_ARTICLE is added where the page has an article's worth of prose besides. A branch's words are those of its links too; the
+    element is the signature of the branch's node, 0 without markup."""
     prose: dict[int, int] = {}
-    path: dict[int, str] = {}
+    words: dict[int, int] = {}
     total = 0
     for f in page:
-        b = f.block
-        if b.branch:
-            path[b.branch] = b.path
+        if k := f.block.branch:
             own = f.words if f.kind & PROSE else 0
-            prose[b.branch] = prose.get(b.branch, 0) + own
+            prose[k] = prose.get(k, 0) + own
+            words[k] = words.get(k, 0) + f.words
             total += own
-    out: list[tuple[int, int, int]] = []
+    node = {k: hash64("path " + p) if p and p != "text" else 0 for k, p in elements(page).items()}
+    out: list[tuple[int, int, int, int, int]] = []
     for i, f in enumerate(page):
         b = f.block
         if b.branch and not f.kind & LINKS:
             # a block's own prose says nothing about itself: the rest of its branch and of the page does
             own = f.words if f.kind & PROSE else 0
             how = PLAIN if b.path == "text" else NOISY if prose[b.branch] - own < REST else AMID
-            out.append((i, f.sig, how + (WITH_ARTICLE if total - own >= BESIDE else 0)))
-    for k, p in path.items():
-        if p and p not in ("text", "td"):
-            out.append((BRANCH_ROW + k, hash64("path " + p), NOISY if prose[k] < REST else AMID))
+            out.append((i, f.sig, how + (WITH_ARTICLE if total - own >= BESIDE else 0), f.words, node[b.branch]))
+    out += [(BRANCH_ROW + k, h, PLAIN, words[k], h) for k, h in node.items() if h]
     how = PLAIN + (WITH_ARTICLE if total >= BESIDE else 0)
-    out += [(WORD_ROW + k, word_node(w), how) for k, w in enumerate(heap_words(page))]
+    out += [(WORD_ROW + k, word_node(w), how, 0, 0) for k, w in enumerate(heap_words(page))]
     return out
 
 
@@ -207,12 +220,12 @@ def word_node(word: str) -> int:
 
 
 class Known(NamedTuple):
-    """What the merged trees say of a page: which blocks are of low importance, in what percentage of its occurrences the style
-    path of a branch holds no prose (on the host if that has enough pages, else in the crawl), which blocks many sites answer with
-    where no article is, and which of ``heap_words`` are of the kind that only fills space."""
+    """What the merged trees say of a page: which blocks are of low importance, the importance in percent of the nodes of its branches
+    (on the host if that has enough pages, else in the crawl), which blocks many sites answer with where no article is, and which
+    of ``heap_words`` are of the kind that only fills space."""
 
     low: frozenset[int]
-    noisy: dict[int, int]
+    importance: dict[int, int]
     answers: frozenset[int] = frozenset()
     fill: frozenset[int] = frozenset()
 
@@ -295,27 +308,32 @@ def _branches(page: list[Facts]) -> dict[int, list[int]]:
 
 
 def _main_markup(page: list[Facts], low: list[bool], known: Known) -> list[int]:
+    """The branches whose nodes in the site tree are important. Where the tree says nothing, as of a site with few pages, and for an
+    article in a place that others fill, a branch's own prose decides."""
     branches = _branches(page)
     main: set[int] = set()
     paths: set[str] = set()
+    open_: list[int] = []
     for k, members in branches.items():
+        if all(low[i] for i in members):
+            continue
         words = sum(page[i].words for i in members)
+        linked = sum(page[i].words for i in members if page[i].kind & LINKS)
         prose = sum(page[i].words for i in members if page[i].kind & PROSE and not low[i])
-        noisy = known.noisy.get(k)
-        if prose and 2 * prose >= words and not (noisy is not None and noisy > 80 and prose < 25 and not _MAIN_NAMES.search(page[members[0]].block.path)):
-            main.add(k)
-            paths.add(page[members[0]].block.path)
-        elif prose >= 25 and 4 * prose >= words and (noisy is None or noisy < 50):
+        importance = known.importance.get(k)
+        if importance is None:
+            take = prose and 2 * prose >= words or prose >= REST and 4 * prose >= words
+        else:
+            take = importance >= KEEP and 2 * linked <= words or prose >= BESIDE and 2 * prose >= words
+        if take:
             main.add(k)
-            paths.add(page[members[0]].block.path)
-    for k, members in branches.items():
-        path = page[members[0]].block.path
-        if k in main or all(low[i] for i in members):
-            continue
-        linked = sum(page[i].words for i in members if page[i].kind & LINKS)
-        noisy = known.noisy.get(k)
-        inside = any(path.startswith(p + "/") for p in paths)
-        if (path in paths and path not in ("td", "") or inside) and 2 * linked <= sum(page[i].words for i in members) and (noisy is None or noisy < 80):
+            if importance is None or importance >= KEEP:
+                paths.add(page[members[0]].block.path)
+        elif importance is None and 2 * linked <= words:
+            open_.append(k)
+    for k in open_:  # what belongs to the main branches
+        path = page[branches[k][0]].block.path
+        if path in paths and path not in ("td", "") or any(path.startswith(p + "/") for p in paths if p):
             main.add(k)
     return [i for k in branches if k in main for i in branches[k] if not low[i]]
 
@@ -407,14 +425,11 @@ def _body(page: list[Facts], low: list[bool], known: Known, text: bool, main_blo
     for k, members in branches.items():
         if all(low[i] for i in members):
             continue
-        path = page[members[0]].block.path
-        noisy = known.noisy.get(k)
         held = sum(page[i].residue for i in members if not low[i])
         words = sum(page[i].words for i in members)
         heap = sum(page[i].words for i in members if page[i].kind & HEAP and not page[i].kind & LINKS)
         heading = any(page[i].block.tag == "h" for i in members)
-        named = _MAIN_NAMES.search(path) is not None
-        if named or heading or k in main or noisy is not None and noisy < 50 or held or 2 * heap >= words and heap >= 15:
+        if heading or k in main or known.importance.get(k, 0) >= KEEP or held or 2 * heap >= words and heap >= 15:
             chosen += [i for i in members if not low[i]]
     if not chosen:  # a body without style, heading or sentence: the branches of many links that no label of a box is in
         for members in branches.values():

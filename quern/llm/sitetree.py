@@ -1,11 +1,16 @@
 """Site style trees over a crawl: which blocks of a page are its main body.
 
-Each page is parsed once into branches and blocks (``siteblocks``). The trees of all pages of a host are merged, and those
-of all hosts into the crawl's, by counting signatures instead of building trees: a *content node* is a block's masked text
-(digits and the site's own name replaced), a *presentation node* the style path of a branch. Copies of an article count as
-one page. Of n articles on a host, d holding the node alike have entropy log d of at most log n: a content node seen on
-many articles tells nothing about any of them and is removed, a presentation node whose branches hold prose is kept. Host
-evidence goes first, the crawl's backs it up where a host has few pages.
+Each page is parsed once into branches and blocks (``siteblocks``). The pages of a host are merged into its style tree (Yi, Liu and
+Li, "Eliminating Noisy Information in Web Pages for Data Mining", KDD 2003) by counting: a *presentation node* is the style path
+of a branch, for cells of a layout with their place; a *content node* a block's masked text (digits and the site's own name
+replaced). Copies of an article count as one page. A node that is on N articles of its host and holds a content on d of them
+has from it the entropy log d of at most log N; the content's importance is 1 - log d / log N, links have none, and the importance
+of a presentation node is the mean over the words it holds:
+
+    importance = (sum of words * (1 - log d / log N)) / words, those of links included
+
+Branches under ``KEEP`` percent are removed, and within the others the content nodes that mostly occur in branches without
+other prose. Hosts with fewer than ``LEAST`` pages of a node go by the tree of the whole crawl.
 
 Scale: one parse, no shuffle of texts but the one that finds each page's latest row; counts are pre-aggregated and joined
 back on (signature, host, salt), so a host or a footer that owns a third of the crawl is spread over ``SALTS`` tasks.
@@ -28,6 +33,8 @@ from .siteblocks import BRANCH_ROW, NOISY, WITH_ARTICLE, WORD_ROW, Facts, Known,
 from .stuffing import CHUNK_TYPE, flag_stuffed
 
 SALTS = 16
+#: Pages with a node from which its importance is told.
+LEAST = 6
 #: Above this share of occurrences without other prose around a repeated block is of low importance.
 NOISE = 0.7
 BATCH = 500
@@ -37,7 +44,7 @@ HOSTS, ANSWER = 3, 0.2
 WORDS = 200_000
 
 _PARSED = (
-    "page_id long, loaded long, tie long, host long, article long, idx array<int>, sig array<long>, noise array<byte>, "
+    "page_id long, loaded long, tie long, host long, article long, idx array<int>, sig array<long>, how array<byte>, words array<int>, element array<long>, "
     "visible string, body binary, url string"
 )
 _JUDGED = f"page_id long, lines array<int>, text string, residue int, other int, chunks {CHUNK_TYPE}, visible string, url string, loaded long"
@@ -56,7 +63,7 @@ def page_rows(pages: DataFrame) -> DataFrame:
 def _parse(batches: Iterator[pa.RecordBatch], keys: bool = True) -> Iterator[pa.RecordBatch]:
     kinds = pa.schema(
         [("page_id", pa.int64()), ("loaded", pa.int64()), ("tie", pa.int64()), ("host", pa.int64()), ("article", pa.int64()), ("idx", pa.list_(pa.int32())),
-         ("sig", pa.list_(pa.int64())), ("noise", pa.list_(pa.int8())), ("visible", pa.string()), ("body", pa.binary()), ("url", pa.string())]
+         ("sig", pa.list_(pa.int64())), ("how", pa.list_(pa.int8())), ("words", pa.list_(pa.int32())), ("element", pa.list_(pa.int64())), ("visible", pa.string()), ("body", pa.binary()), ("url", pa.string())]
     )
     spoken: Counter[str] = Counter()
     for whole in batches:
@@ -71,8 +78,7 @@ def _parse(batches: Iterator[pa.RecordBatch], keys: bool = True) -> Iterator[pa.
                 nodes = signatures(page)
                 key = visible_key(source) if keys else ""
                 row = (
-                    page_id, when, hash64(source or ""), hash64(host), article_key(page, host), [n[0] for n in nodes], [n[1] for n in nodes],
-                    [n[2] for n in nodes], _digest(key), marshal.dumps([(*f.block, *f[1:4], 0) for f in page]), url,
+                    page_id, when, hash64(source or ""), hash64(host), article_key(page, host), *([n[c] for n in nodes] for c in range(5)), _digest(key), marshal.dumps([(*f.block, *f[1:4], 0) for f in page]), url,
                 )
                 for column, value in zip(rows, row):
                     column.append(value)
@@ -125,25 +131,27 @@ LOW, ANSWERED = 1, 2
 
 def _evidence(parsed: DataFrame) -> DataFrame:
     """(page_id, tie, node, value): what the merged trees say of the nodes of each page that they say anything of. A block is
-    listed if it is of low importance or an answer of many sites; a branch has the percentage of its style path's occurrences
-    without prose; a word of a heap is listed if heaps of many hosts have it and prose hardly ever."""
-    nodes = parsed.where("page_id is not null").select("page_id", "tie", "host", "article", F.explode(F.arrays_zip("idx", "sig", "noise")).alias("n")).select(
-        "page_id", "tie", "host", "article", "n.idx", "n.sig", "n.noise"
+    listed if it is of low importance or an answer of many sites; a branch has the importance of its node in percent; a word of a
+    heap is listed if heaps of many hosts have it and prose hardly ever."""
+    nodes = parsed.where("page_id is not null").select("page_id", "tie", "host", "article", F.explode(F.arrays_zip("idx", "sig", "how", "words", "element")).alias("n")).select(
+        "page_id", "tie", "host", "article", "n.*"
     )
     spoken = parsed.where("page_id is null").select(F.explode(F.arrays_zip("idx", "sig")).alias("n")).groupBy(F.col("n.sig").alias("sig")).agg(F.sum("n.idx").alias("spoken"))
     salt = F.pmod("article", F.lit(SALTS)).cast("int")
-    how = F.col("noise").bitwiseAND(F.lit(3))
-    by_article = nodes.groupBy("sig", "host", "article").agg(
-        F.count_if(how == NOISY).cast("int").alias("noisy"), F.count_if(how <= NOISY).cast("int").alias("of"), F.count_if(F.col("noise") >= WITH_ARTICLE).cast("int").alias("beside"),
-        F.count("*").cast("int").alias("times"), F.max(F.col("idx") >= WORD_ROW).alias("word"),
+    how = F.col("how").bitwiseAND(F.lit(3))
+    by_article = nodes.groupBy("sig", "host", "element", "article").agg(
+        F.count_if(how == NOISY).cast("int").alias("noisy"), F.count_if(how <= NOISY).cast("int").alias("of"), F.count_if(F.col("how") >= WITH_ARTICLE).cast("int").alias("beside"),
+        F.count("*").cast("int").alias("times"), F.sum("words").alias("words"), F.max(F.col("idx") >= WORD_ROW).alias("word"),
     )
-    sums = [F.sum(c).alias(c) for c in ("noisy", "of", "beside", "times")]
-    by_host = by_article.groupBy("sig", "host").agg(F.count("*").cast("int").alias("pages"), *sums, F.max("word").alias("word"), F.collect_set(salt).alias("salts"))
-    by_crawl = by_host.groupBy("sig").agg(F.count("*").cast("int").alias("hosts"), *(F.sum(c).alias(f"all_{c}") for c in ("pages", "noisy", "of", "beside", "times")), F.max("word").alias("is_word")).where("all_pages > 2")
-    here, everywhere = F.try_divide("noisy", "of"), F.try_divide("all_noisy", "all_of")
-    # a repeated node amid prose is the article's own; without markup anywhere to tell, what many pages of the host have is not
-    low = F.when(everywhere.isNull(), F.col("pages") > 2).otherwise(everywhere >= NOISE)
-    noisy = F.when(here.isNotNull() & (F.col("pages") > 2), here).when(F.col("hosts") > 2, everywhere)
+    sums = [F.sum(c).alias(c) for c in ("noisy", "of", "beside", "times", "words")]
+    places = keep(by_article.groupBy("sig", "host", "element").agg(F.count("*").cast("int").alias("pages"), *sums, F.max("word").alias("word"), F.collect_set(salt).alias("salts")))
+    important = _importance(places)
+    by_host = places.groupBy("sig", "host").agg(*(F.sum(c).alias(c) for c in ("pages", "beside", "noisy", "of", "times")), F.max("word").alias("word"), F.array_distinct(F.flatten(F.collect_list("salts"))).alias("salts"))
+    by_crawl = by_host.groupBy("sig").agg(F.count("*").cast("int").alias("hosts"), *(F.sum(c).alias(f"all_{c}") for c in ("pages", "noisy", "of", "beside", "times")), F.max("word").alias("is_word"), F.max("pages").alias("most")).where("all_pages > 2")
+    everywhere = F.try_divide("all_noisy", "all_of")
+    # a repeated node amid prose is the article's own, so is one that no host has on several articles, as an article's copies have;
+    # without markup anywhere to tell, what many pages of the host have is not
+    low = F.when(everywhere.isNull(), F.col("pages") > 2).otherwise((everywhere >= NOISE) & (F.col("most") > 2))
     answer = (F.col("hosts") >= HOSTS) & (F.col("all_beside") <= ANSWER * F.col("all_times"))
     fill = answer & (F.coalesce("spoken", F.lit(0)) <= ANSWER * F.col("all_pages"))
     tree = (
@@ -151,23 +159,41 @@ def _evidence(parsed: DataFrame) -> DataFrame:
         .join(spoken, "sig", "left")
         .select(
             F.xxhash64("sig", "host").alias("node"),
-            F.when(F.col("is_word"), F.when(fill, 1)).otherwise(F.nullif(F.when(low, LOW).otherwise(0) + F.when(answer, ANSWERED).otherwise(0), F.lit(0))).alias("marks"),
-            F.round(100 * noisy).cast("int").alias("noisy"), F.explode("salts").alias("salt"),
+            F.when(F.col("is_word"), F.when(fill, 1)).otherwise(F.nullif(F.when(low, LOW).otherwise(0) + F.when(answer, ANSWERED).otherwise(0), F.lit(0))).alias("value"),
+            "salts",
         )
-        .where("marks is not null or noisy is not null")
-    )
-    branch = f"idx >= {BRANCH_ROW} and idx < {WORD_ROW}"
+        .where("value is not null")
+        .unionByName(important)
+        .select("node", "value", F.explode("salts").alias("salt"))
+    )
     return (
-        nodes.select("page_id", "tie", "idx", F.xxhash64("sig", "host").alias("node"), salt.alias("salt"))
+        nodes.select("page_id", "tie", "idx", F.when((F.col("idx") < BRANCH_ROW) | (F.col("idx") >= WORD_ROW), F.xxhash64("sig", "host")).otherwise(F.xxhash64("element", "host", "sig")).alias("node"), salt.alias("salt"))
         .join(tree, ["node", "salt"])
-        .select("page_id", "tie", "idx", F.when(F.expr(branch), F.col("noisy")).otherwise(F.col("marks")).alias("noisy"))
-        .where("noisy is not null")
         .groupBy("page_id")
-        .agg(F.collect_list(F.struct("tie", "idx", "noisy")).alias("evidence"))
+        .agg(F.collect_list(F.struct("tie", "idx", "value")).alias("evidence"))
+    )
+
+
+def _importance(places: DataFrame) -> DataFrame:
+    """(node, value, salts): of each branch's node on each host its importance in percent, where it is told."""
+    held = places.where("element <> 0 and sig <> element")
+    nodes = places.where("element <> 0 and sig = element")
+    entropy = F.sum(F.col("words") * F.log("pages"))
+    here = held.groupBy("element", "host").agg(F.sum("words").alias("held"), entropy.alias("h"))
+    crawl = nodes.groupBy("element").agg(F.sum("pages").alias("all_pages"), F.sum("words").alias("all_words"), F.count("*").alias("hosts")).where(f"all_pages >= {LEAST} and hosts > 2")
+    alike = held.groupBy("element", "sig").agg(F.sum("words").alias("words"), F.sum("pages").alias("pages"))
+    crawl = crawl.join(alike.groupBy("element").agg(F.sum("words").alias("all_held"), entropy.alias("all_h")), "element", "left")
+    told = lambda words, held, h, n: (F.coalesce(held, F.lit(0)) - F.coalesce(h, F.lit(0.0)) / F.log(n)) / F.greatest(words, F.lit(1))
+    value = F.when(F.col("pages") >= LEAST, told(F.col("words"), F.col("held"), F.col("h"), F.col("pages"))).otherwise(told(F.col("all_words"), F.col("all_held"), F.col("all_h"), F.col("all_pages")))
+    return (
+        nodes.join(here, ["element", "host"], "left")
+        .join(crawl, "element", "left")
+        .select(F.xxhash64("element", "host", "sig").alias("node"), F.greatest(F.round(100 * value), F.lit(0)).cast("int").alias("value"), "salts")
+        .where("value is not null")
     )
 
 
-_SEEN = ("tie", "idx", "noisy")
+_SEEN = ("tie", "idx", "value")
 
 
 def judge_pages(pages: DataFrame, texts: bool = False, keys: bool = False) -> DataFrame:
