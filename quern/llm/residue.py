@@ -53,7 +53,7 @@ _WORD = re.compile(r"[^\W_]+")
 
 def may_be_residue(text: str, low: list[str]) -> bool:
     """Whether a block can hold any residue: a cheap test that never rules out a block that does."""
-    return not CUES.isdisjoint(low) or not FILLER.isdisjoint(low) or _FIELD.search(text) is not None or any(w.endswith(_FAULTS) for w in low)
+    return not CUES.isdisjoint(low) or not FILLER.isdisjoint(low) or _FIELD.search(text) is not None or "rror" in text or "xception" in text
 
 
 _FAULTS = ("error", "exception")

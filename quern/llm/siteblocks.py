@@ -112,8 +112,8 @@ def _name_parts(names: set[str], tokens: list[list[str]]) -> set[str]:
     """Words of the page that, written together, make up the site's name."""
     if not names:
         return set()
-    seen = {w for ws in tokens for w in ws}
-    return {x for name in names for w in seen if len(w) < len(name) and name.startswith(w) and name[len(w) :] in seen for x in (w, name[len(w) :])}
+    seen = set().union(*tokens)
+    return {x for name in names for k in range(1, len(name)) if name[:k] in seen and name[k:] in seen for x in (name[:k], name[k:])}
 
 
 def facts(source: str | None, host: str, spoken: set[str] | None = None) -> list[Facts]:

@@ -188,7 +188,7 @@ def _importance(places: DataFrame) -> DataFrame:
     return (
         nodes.join(here, ["element", "host"], "left")
         .join(crawl, "element", "left")
-        .select(F.xxhash64("element", "host", "sig").alias("node"), F.greatest(F.round(100 * value), F.lit(0)).cast("int").alias("value"), "salts")
+        .select(F.xxhash64("element", "host", "sig").alias("node"), F.when(value.isNotNull(), F.greatest(F.round(100 * value), F.lit(0))).cast("int").alias("value"), "salts")
         .where("value is not null")
     )
 
