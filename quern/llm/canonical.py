@@ -1,14 +1,21 @@
 """Duplicates hidden by formatting: an incremental ledger of canonical keys.
 
-The ledger is a table of (bucket, key, copies, first_id) in the shared folder, one folder for each bucket. A batch of
-(key, id) rows is pre-aggregated to one row a key, full-outer-joined with the ledger's rows of the buckets it touches,
-counts are added, the earliest representative stays, and a new version of the ledger is written; untouched buckets are
-carried over by reference. Joins are on the key within its bucket; a key with a third of all rows is one row after the
-partial aggregation, so no task grows with it.
+The ledger is a table of (bucket, key, copies, first_id) in a folder, one subfolder for each bucket and version, and a manifest
+for each version that names the current subfolder of every bucket. A batch of (key, id) rows is pre-aggregated to one row a
+key, full-outer-joined on (bucket, key) with the ledger's rows of the buckets it touches, counts are added, the earliest
+representative stays, and the touched buckets are written anew; the others are carried over by reference. The manifest is
+written last, so a batch that fails leaves the ledger as it was, and a ledger that is opened again goes on from its last
+version. The number of buckets is chosen from the first batch, ``KEYS`` keys each, and doubled by rewriting the ledger when
+buckets have grown to four times that. An id counts once in a batch; the same id in two batches counts twice, so batches
+must not overlap.
+
+A key with a third of all rows is one row after the partial aggregation; where its copies are listed, the few keys that own
+a hundredth of the rows or more are joined by broadcast, so no task grows with them.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,7 +23,10 @@ from pyspark.sql import functions as F
 
 from ..storage import keep, shared_dir
 
-BUCKETS = 64
+#: Keys of a bucket when a ledger is begun.
+KEYS = 1_000_000
+#: Share of the rows from which a key's copies are joined by broadcast: at most 1 / HOT keys.
+HOT = 0.01
 _LEDGER = "key string, copies long, first_id long, bucket int"
 
 
@@ -39,14 +49,40 @@ def canonical_url(url: Column) -> Column:
 
 
 class Ledger:
-    """Counts of canonical keys, kept up with batches."""
+    """Counts of canonical keys, kept up with batches and across runs: a path that holds a ledger is opened, not begun anew."""
 
-    def __init__(self, spark: SparkSession, path: str | None = None, buckets: int = BUCKETS):
+    def __init__(self, spark: SparkSession, path: str | None = None, buckets: int | None = None):
         self.spark = spark
         self.path = path or f"{shared_dir(spark).rstrip('/')}/quern-ledger-{uuid.uuid4().hex}"
         self.buckets = buckets
         self.files: dict[int, str] = {}  # bucket -> folder of its current version; at most ``buckets`` entries
         self.version = 0
+        self._fs = self._at(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
+        self._open()
+
+    def _at(self, path: str):
+        return self.spark._jvm.org.apache.hadoop.fs.Path(path)
+
+    def _open(self) -> None:
+        if not self._fs.exists(self._at(self.path)):
+            return
+        names = [x.getPath().getName() for x in self._fs.listStatus(self._at(self.path))]
+        if not (versions := [int(n[9:-5]) for n in names if n.startswith("manifest-") and n.endswith(".json")]):
+            return
+        self.version = max(versions)
+        said = json.loads("\n".join(r.value for r in self.spark.read.text(f"{self.path}/manifest-{self.version}.json").collect()))
+        self.buckets, self.files = said["buckets"], {int(b): f"{self.path}/{folder}" for b, folder in said["files"].items()}
+
+    def _close(self, files: dict[int, str]) -> None:
+        """Makes a version current: written aside, then renamed."""
+        text = json.dumps({"buckets": self.buckets, "files": {b: f[len(self.path) + 1 :] for b, f in files.items()}})
+        aside, final = self._at(f"{self.path}/.manifest-{uuid.uuid4().hex}"), self._at(f"{self.path}/manifest-{self.version + 1}.json")
+        out = self._fs.create(aside, False)
+        out.write(bytearray(text, "utf-8"))
+        out.close()
+        if not self._fs.rename(aside, final):
+            raise RuntimeError(f"another writer has added to {self.path}")
+        self.version, self.files = self.version + 1, files
 
     def read(self, buckets: list[int] | None = None) -> DataFrame:
         paths = [p for b, p in self.files.items() if buckets is None or b in buckets]
@@ -54,41 +90,39 @@ class Ledger:
             return self.spark.createDataFrame([], _LEDGER)
         return self.spark.read.schema(_LEDGER).parquet(*paths)
 
+    def _bucket(self):
+        return F.pmod(F.xxhash64("key"), F.lit(self.buckets)).cast("int").alias("bucket")
+
+    def _write(self, rows: DataFrame) -> dict[int, str]:
+        """Writes whole buckets; their folders."""
+        where = f"{self.path}/v{self.version + 1}-{uuid.uuid4().hex[:8]}"
+        rows.withColumn("b", F.col("bucket")).repartition("b").write.mode("errorifexists").partitionBy("b").option("compression", "zstd").parquet(where)
+        names = [x.getPath().getName() for x in self._fs.listStatus(self._at(where))]
+        return {int(n[2:]): f"{where}/{n}" for n in names if n.startswith("b=")}
+
     def add(self, batch: DataFrame) -> None:
         """Adds a batch of (key, id); rows with a null key or id are left out, an id counts once in a batch."""
-        new = (
-            batch.where("key is not null and id is not null")
-            .select("key", "id")
-            .distinct()
-            .groupBy("key")
-            .agg(F.count("*").alias("more"), F.min("id").alias("its_first"))
-            .withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(self.buckets)).cast("int"))
-        )
-        new = keep(new)
-        touched = [r.bucket for r in new.select("bucket").distinct().collect()]  # at most ``buckets`` numbers
-        if not touched:
+        rows = batch.where("key is not null and id is not null").select("key", "id").distinct()
+        new = keep(rows.groupBy("key").agg(F.count("*").alias("more"), F.min("id").alias("its_first")))
+        if not (keys := new.count()):
             return
-        old = self.read(touched).withColumnRenamed("bucket", "old_bucket")
-        merged = new.join(old, "key", "full_outer").select(
-            "key",
-            (F.coalesce("copies", F.lit(0)) + F.coalesce("more", F.lit(0))).alias("copies"),
-            F.least("first_id", "its_first").alias("first_id"),
-            F.coalesce("bucket", "old_bucket").alias("bucket"),
+        if self.buckets is None:
+            self.buckets = max(1, -(-keys // KEYS))
+        new = new.select("*", self._bucket())
+        touched = [r.bucket for r in new.select("bucket").distinct().collect()]  # at most ``buckets`` numbers
+        merged = new.join(self.read(touched), ["bucket", "key"], "full_outer").select(
+            "key", (F.coalesce("copies", F.lit(0)) + F.coalesce("more", F.lit(0))).alias("copies"), F.least("first_id", "its_first").alias("first_id"), "bucket"
         )
-        self.version += 1
-        where = f"{self.path}/v{self.version}"
-        merged.withColumn("b", F.col("bucket")).repartition("b").write.mode("overwrite").partitionBy("b").option("compression", "zstd").parquet(where)
-        fs = self.spark._jvm.org.apache.hadoop.fs.Path(where).getFileSystem(self.spark._jsc.hadoopConfiguration())
-        for bucket in touched:
-            folder = f"{where}/b={bucket}"
-            if fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(folder)):
-                self.files[bucket] = folder
+        self._close(self.files | self._write(merged))
+        if keys > 2 * KEYS * self.buckets or self.version % 16 == 0 and self.read().count() > 4 * KEYS * self.buckets:
+            self.buckets *= 2
+            self._close(self._write(self.read().select("key", "copies", "first_id", self._bucket())))
 
 
-def duplicates_in(rows: DataFrame, batches: list[Column]) -> tuple[DataFrame, Ledger]:
+def duplicates_in(rows: DataFrame, batches: list[Column], path: str | None = None) -> tuple[DataFrame, Ledger]:
     """(counts, ledger) of (key, id) rows that come in the given batches, each a condition on ``rows``; counts has key,
     copies, first_id."""
-    ledger = Ledger(rows.sparkSession)
+    ledger = Ledger(rows.sparkSession, path)
     for batch in batches:
         ledger.add(rows.where(batch))
     counts = ledger.read().select("key", "copies", "first_id")
@@ -96,6 +130,10 @@ def duplicates_in(rows: DataFrame, batches: list[Column]) -> tuple[DataFrame, Le
 
 
 def copies_of(rows: DataFrame, counts: DataFrame) -> DataFrame:
-    """(key, first_id, copy_id): a row for each id but the first of its key."""
-    repeated = counts.where("copies > 1").select("key", "first_id")
-    return rows.where("key is not null").join(repeated, "key").where("id <> first_id").select("key", "first_id", F.col("id").alias("copy_id")).distinct()
+    """(key, first_id, copy_id): a row for each id but the first of its key. ``rows`` is read twice."""
+    repeated = counts.where("copies > 1").select("key", "first_id", "copies")
+    least = HOT * (counts.agg(F.sum("copies")).first()[0] or 0)
+    hot, rest = F.col("copies") >= max(least, 2), F.col("copies") < max(least, 2)
+    rows = rows.where("key is not null").select("key", "id")
+    found = rows.join(F.broadcast(repeated.where(hot)), "key").unionByName(rows.join(repeated.where(rest), "key"))  # at most 1 / HOT keys
+    return found.where("id <> first_id").select("key", "first_id", F.col("id").alias("copy_id")).distinct()

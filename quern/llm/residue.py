@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 from functools import lru_cache
+from http import HTTPStatus
 
 # How the common template languages write an unfilled field.
 PLACEHOLDER = re.compile(
@@ -45,6 +46,9 @@ WEAK_CUES = frozenset(
         "navigateur serveur contenu adresse texte seite dienst zugriff inhalt página pagina navegador servidor servicio contenido texto serviço conteúdo toegang inhoud tekst"
     ).split()
 )
+#: What servers call their errors, as words.
+REASONS = frozenset(" ".join(re.findall(r"\w+", x.phrase.lower())) for x in HTTPStatus if x >= 400)
+_REASON_WORDS = frozenset(w for x in REASONS for w in x.split())
 # Words in quotes, paths, calls and codes of a program.
 _CODE = re.compile(r"""\S*[/\\=_]\S*|\S*\w\.\w\S*|["'«“][\w.]+["'»”]|\w+\[\w*\]|\b\w+(?:Error|Exception)\b|\b(?:[45]\d\d|HTTP)\b""")
 _SENTENCE = re.compile(r"(?<=[.!?…])\s+")
@@ -53,7 +57,7 @@ _WORD = re.compile(r"[^\W_]+")
 
 def may_be_residue(text: str, low: list[str]) -> bool:
     """Whether a block can hold any residue: a cheap test that never rules out a block that does."""
-    return not CUES.isdisjoint(low) or not FILLER.isdisjoint(low) or _FIELD.search(text) is not None or "rror" in text or "xception" in text
+    return not CUES.isdisjoint(low) or not FILLER.isdisjoint(low) or not _REASON_WORDS.isdisjoint(low) and " ".join(low) in REASONS or _FIELD.search(text) is not None or "rror" in text or "xception" in text
 
 
 _FAULTS = ("error", "exception")
@@ -72,6 +76,6 @@ def residue_words(text: str) -> int:
         cues = sum(w in CUES or w.endswith(_FAULTS) for w in low)
         if cues:
             cues += sum(map(WEAK_CUES.__contains__, low)) + sum(len(_WORD.findall(m)) for m in _CODE.findall(sentence))
-        if 4 * held >= n and held or held and n <= 8 or 2 * sum(map(FILLER.__contains__, low)) > n or 5 * cues >= n and (cues > 1 or cues and n < 4):
+        if " ".join(low) in REASONS or 4 * held >= n and held or held and n <= 8 or 2 * sum(map(FILLER.__contains__, low)) > n or 5 * cues >= n and (cues > 1 or cues and n < 4):
             total += n
     return total

@@ -156,8 +156,9 @@ def facts(source: str | None, host: str, spoken: set[str] | None = None) -> list
 
 
 def article_key(page: list[Facts], host: str) -> int:
-    """Stands for the article of a page: its longest prose, so that copies of an article count once."""
-    best = max((f for f in page if f.kind & PROSE), key=lambda f: len(f.block.text), default=None)
+    """Stands for the article of a page: its longest prose, else its longest block, so that copies of an article count once."""
+    own = [f for f in page if f.kind & PROSE] or [f for f in page if f.block.branch and not f.kind & LINKS]
+    best = max(own, key=lambda f: len(f.block.text), default=None)
     return best.sig if best else hash64("host " + host)
 
 
@@ -232,16 +233,14 @@ class Known(NamedTuple):
 
 def with_evidence(page: list[Facts], known: Known, url: str | None) -> list[Facts]:
     """The facts of a page once its answers and filler are known: those count as residue unless they share a term with the
-    address, the title or the headings, of which an article is told by. A title or heading that is an answer itself doesn't count."""
+    address, the title or another heading, by which an article is told. Titles and headings that are notices don't count."""
     if not known.answers and not known.fill:
         return page
     heads = [i for i, f in enumerate(page) if f.block.tag in ("title", "h")]
-    said = {w for i in known.answers for w in _WORD.findall(page[i].block.text.lower())}
     own = {w for w in re.findall(r"[^\W\d_]{3,}", (url or "").lower().partition("://")[2].partition("/")[2].partition("?")[0])}
     for i in heads:
-        ws = set(_WORD.findall(page[i].block.text.lower())) - FUNCTION_WORDS
-        if i not in known.answers and not page[i].residue and not ws <= said:
-            own |= ws
+        if not page[i].residue and not residue_words(page[i].block.text):
+            own |= set(_WORD.findall(page[i].block.text.lower())) - FUNCTION_WORDS
     fill: set[str] = set()
     if known.fill:
         ws = heap_words(page)
@@ -249,7 +248,7 @@ def with_evidence(page: list[Facts], known: Known, url: str | None) -> list[Fact
     out = []
     for i, f in enumerate(page):
         if 2 * f.residue <= f.words:
-            if i in known.answers and _is_speech(f.block) and own.isdisjoint(_WORD.findall(f.block.text.lower())):
+            if i in known.answers and _is_speech(f.block) and f.block.tag != "h" and own.isdisjoint(_WORD.findall(f.block.text.lower())):
                 f = f._replace(residue=f.words, kind=f.kind & STOPPED)
             elif fill and f.kind & HEAP:
                 held = sum(w in fill for w in _WORD.findall(f.block.text.lower()))

@@ -193,6 +193,12 @@ def _importance(places: DataFrame) -> DataFrame:
     )
 
 
+def latest(rows: DataFrame) -> DataFrame:
+    """Of several rows (page_id, url, source, loaded) of a page the one loaded last, of those the one with the largest hash of its source."""
+    by = Window.partitionBy("page_id").orderBy(F.col("loaded").desc_nulls_last(), F.xxhash64("source", "url").desc())
+    return rows.withColumn("turn", F.row_number().over(by)).where("turn = 1").drop("turn")
+
+
 _SEEN = ("tie", "idx", "value")
 
 

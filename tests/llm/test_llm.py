@@ -160,3 +160,71 @@ def test_link_blocks_keep_their_text(spark):
     rows = [_page(k) for k in range(4)] + [_page(9, body="\n".join([f"<p>{s}</p>" for s in SENTENCES[30:32]] + [linked]))]
     found = {r.page_id: r for r in sitetree.judge_pages(spark.createDataFrame(rows, PAGES), texts=True).collect()}
     assert 7 in found[9].lines and "annual survey of every harbour" in found[9].text
+
+
+def test_ledger_is_opened_again(spark, tmp_path):
+    path = f"file://{tmp_path}/ledger"
+    rows = spark.createDataFrame([("a", 5), ("a", 7), ("b", 3), (None, 1), ("c", None), ("a", 5)], "key string, id long")
+    first = canonical.Ledger(spark, path, buckets=3)
+    first.add(rows)
+    again = canonical.Ledger(spark, path)
+    assert again.buckets == 3 and again.version == 1
+    again.add(spark.createDataFrame([("a", 2), ("d", 9)], "key string, id long"))
+    last = canonical.Ledger(spark, path)
+    assert {(r.key, r.copies, r.first_id) for r in last.read().collect()} == {("a", 3, 2), ("b", 1, 3), ("d", 1, 9)}
+    assert len({f.split("/v")[1][0] for f in last.files.values()}) <= 2
+    counts = last.read()
+    all_rows = rows.unionByName(spark.createDataFrame([("a", 2), ("d", 9)], "key string, id long"))
+    assert {tuple(r) for r in canonical.copies_of(all_rows, counts).collect()} == {("a", 2, 5), ("a", 2, 7)}
+
+
+def test_buckets_grow(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(canonical, "KEYS", 10)
+    ledger = canonical.Ledger(spark, f"file://{tmp_path}/ledger")
+    for k in range(3):
+        ledger.add(spark.range(40 * k, 40 * k + 40 * (k + 1)).selectExpr("cast(id % 100 as string) key", "id"))
+    assert ledger.buckets == 8 or ledger.buckets == 4
+    assert canonical.Ledger(spark, ledger.path).read().agg(F.sum("copies"), F.count("*")).first()[:] == (240, 100)
+
+
+NOTICES = [
+    "Oops! That page can't be found.", "You have JavaScript disabled.", "Sorry, you have been blocked", "Page non trouvée", "Se requiere JavaScript", "Hi {name}",
+    "Bandwidth limit exceeded", "Connection timed out", "Pagina no encontrada", "Der Zugriff wurde verweigert.", "KeyError: 'title'", "Dear %(name)s, welcome",
+]
+
+
+def test_notices_that_no_list_holds():
+    assert [t for t in NOTICES if not residue_words(t)] == []
+    long = " ".join(["server error"] * 40)
+    assert residue_words(long) == 80  # of any length
+
+
+def test_answers_of_many_hosts_are_residue(spark):
+    """A wording that no detector knows, given for other titles on many hosts, is residue; a shared article isn't."""
+    strange = "<p>Whatever you hoped for has wandered off beyond our reach</p>"
+    rows = [_page(k, host=f"h{k % 4}") for k in range(12)]
+    rows += [(100 + k, f"http://h{k % 4}.example/a/{k}", _page(k, f"h{k % 4}", strange)[2].replace(f"Page {k}", f"The {'lamp mill ferry clock pump loom kiln depot'.split()[k]}"), None, None, 1) for k in range(8)]
+    rows += [(200 + k, f"http://h{k % 4}.example/c/{k}", _page(k, f"h{k % 4}", "<p>Every lamp of the harbour was counted before the ferry came</p>")[2].replace(f"Page {k}", "Lamp of the harbour"), None, None, 1) for k in range(8)]
+    found = {r.page_id: r.residual for r in sitetree.judge_pages(spark.createDataFrame(rows, PAGES)).collect()}
+    assert {k for k, v in found.items() if v} == set(range(100, 108))
+
+
+def test_filler_of_many_hosts_is_residue(spark):
+    rng = random.Random(8)
+    vocabulary = [rng.choice("bdfgklmn") + rng.choice("aeiou") + rng.choice("rstvz") + rng.choice("aeiou") + rng.choice("mnrs") for _ in range(20)]
+    rows = [_page(k, host=f"h{k % 4}") for k in range(12)]
+    rows += [_page(100 + k, f"h{k % 4}", "<p>" + " ".join(rng.choice(vocabulary) for _ in range(50)).capitalize() + ".</p>") for k in range(8)]
+    found = {r.page_id: (r.residual, r.stuffed) for r in sitetree.judge_pages(spark.createDataFrame(rows, PAGES)).collect()}
+    assert {k for k, v in found.items() if v[0]} == set(range(100, 108)) and not any(v[1] for v in found.values())
+
+
+def test_important_nodes_are_told_by_entropy(spark):
+    """Menus and footers of a language that no list of words holds go by what the site's tree says."""
+    rng = random.Random(9)
+    syllables = "ka to mi ru sa pe no li hu ve".split()
+    word = lambda: "".join(rng.choice(syllables) for _ in range(3))
+    body = lambda: "\n".join("<p>" + " ".join(word() for _ in range(14)).capitalize() + ".</p>" for _ in range(4))
+    rows = [(k, f"http://h.example/{k}", f"<title>{word()}</title>\n<div class=a><p>Tori mika hani</p></div>\n<div class=b>\n{body()}\n</div>\n<div class=c><p>Veli nopo saru kami</p></div>", None, None, 1) for k in range(10)]
+    places = sitetree.judge_pages(spark.createDataFrame(rows, PAGES)).where("not residual").collect()
+    important = {r.value for r in sitetree._evidence(spark.createDataFrame(rows, PAGES).transform(lambda d: sitetree.page_rows(d).mapInArrow(sitetree._parse, sitetree._PARSED))).select(F.explode("evidence").alias("e")).select("e.*").where("idx between 1000000 and 1999999").collect()}
+    assert important == {0, 100} and len(places) == 10
