@@ -16,7 +16,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sitetree.judge_pages(_table(spark, sf_dir, "pages")).where("residual").select("page_id")
+    return sitetree.judge_pages(_table(spark, sf_dir, "pages"), stuffing=False).where("residual").select("page_id")
 
 
 def _scored(spark: SparkSession, sf_dir: str, divergence: bool) -> DataFrame:

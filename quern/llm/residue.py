@@ -48,7 +48,7 @@ WEAK_CUES = frozenset(
 )
 #: What servers call their errors, as words.
 REASONS = frozenset(" ".join(re.findall(r"\w+", x.phrase.lower())) for x in HTTPStatus if x >= 400)
-_REASON_WORDS = frozenset(w for x in REASONS for w in x.split())
+_SIGNS = CUES | FILLER
 # Words in quotes, paths, calls and codes of a program.
 _CODE = re.compile(r"""\S*[/\\=_]\S*|\S*\w\.\w\S*|["'«“][\w.]+["'»”]|\w+\[\w*\]|\b\w+(?:Error|Exception)\b|\b(?:[45]\d\d|HTTP)\b""")
 _SENTENCE = re.compile(r"(?<=[.!?…])\s+")
@@ -57,7 +57,7 @@ _WORD = re.compile(r"[^\W_]+")
 
 def may_be_residue(text: str, low: list[str]) -> bool:
     """Whether a block can hold any residue: a cheap test that never rules out a block that does."""
-    return not CUES.isdisjoint(low) or not FILLER.isdisjoint(low) or not _REASON_WORDS.isdisjoint(low) and " ".join(low) in REASONS or _FIELD.search(text) is not None or "rror" in text or "xception" in text
+    return not _SIGNS.isdisjoint(low) or len(low) < 8 and " ".join(low) in REASONS or _FIELD.search(text) is not None or "rror" in text or "xception" in text
 
 
 _FAULTS = ("error", "exception")

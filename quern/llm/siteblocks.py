@@ -19,8 +19,8 @@ from .stuffing import chunks
 _WORD = re.compile(r"[^\W_]+")
 _STOP = re.compile(r"[.!?…。][\"'»”)\]]*$")
 # What isn't a word of a language: addresses, file names, identifiers, quoted names.
-_CODE = re.compile(r"""\S*[/\\@=_]\S*|\S*\w\.\w\S*|["'‘’“”«»][\w.]+["'‘’“”«»]""")
-_CODED = re.compile(r"""[/\\@=_"'‘’“”«»]|\w\.\w""")
+_CODE = re.compile(r"""(?<!\S)(?:[^\s/\\@=_]*+[/\\@=_]\S*+|[^\s.]*+\.\w\S*+|["'‘“«][\w.]++["'’”»]\S*+)""")
+_CODED = re.compile(r"""[/\\@=_]|\w\.\w|(?<!\w)["'‘“«]\w""")
 _CRUMB = re.compile(r"\S\s[>›»|]\s\S")
 _LABEL = re.compile(r"^([^:]{2,40}?)\s?: ")
 
@@ -82,18 +82,21 @@ def _site_names(host: str) -> set[str]:
     return {"".join(c for c in label if c.isalpha()) for label in labels} - {"www", "m", "blog", ""}
 
 
-def _mask(ws: list[str], names: set[str], parts: set[str]) -> str:
-    """Words with digits become 0, the site's own name S."""
-    out: list[str] = []
-    for w in ws:
-        if not w.isalpha():
-            out.append("0")
-        elif w in parts or w in names:
-            if not out or out[-1] != "S":
+def _mask(ws: list[str], names: set[str]) -> str:
+    """Words with digits become 0, words of the site's own name S."""
+    if not names.isdisjoint(ws):
+        out: list[str] = []
+        for w in ws:
+            if w not in names:
+                out.append(w)
+            elif not out or out[-1] != "S":
                 out.append("S")
-        else:
-            out.append(w)
-    return " ".join(out)
+        ws = out
+    text = " ".join(ws)
+    return " ".join([w if w.isalpha() else "0" for w in ws]) if _DIGIT.search(text) else text
+
+
+_DIGIT = re.compile(r"\d")
 
 
 def _heap(low: list[str], function: int) -> bool:
@@ -105,7 +108,9 @@ def _heap(low: list[str], function: int) -> bool:
         return True
     if n < 16:
         return False
-    return len(set(low)) < 0.3 * n or 2 * max(Counter(zip(low, low[1:])).values()) > 0.22 * n
+    different = len(set(low))
+    # a pair that comes so often leaves fewer different words
+    return different < 0.3 * n or different <= 0.78 * n + 2 and 2 * max(Counter(zip(low, low[1:])).values()) > 0.22 * n
 
 
 def _name_parts(names: set[str], tokens: list[list[str]]) -> set[str]:
@@ -128,6 +133,7 @@ def facts(source: str | None, host: str, spoken: set[str] | None = None) -> list
     else:  # no address: what follows the title's last dash
         ending = re.split(r"\s[-|–]\s", page[0].text.lower()) if page[0].tag == "title" else []
         parts = set(_WORD.findall(ending[-1])) if len(ending) > 1 else set()
+    parts |= names
     out = []
     for b, low in zip(page, tokens):
         text = b.text
@@ -148,9 +154,9 @@ def facts(source: str | None, host: str, spoken: set[str] | None = None) -> list
                     spoken.update(low)
         label = _LABEL.match(text) if n <= 14 and not stop and ":" in text else None
         if label and len(_WORD.findall(label.group(1))) <= 3:
-            masked = _mask(_WORD.findall(label.group(1).lower()), names, parts) + ":"
+            masked = _mask(_WORD.findall(label.group(1).lower()), parts) + ":"
         else:
-            masked = _mask(_WORD.findall(_CODE.sub(" 0 ", text.lower())) if _CODED.search(text) else low, names, parts)
+            masked = _mask(_WORD.findall(_CODE.sub(" 0 ", text.lower())) if _CODED.search(text) else low, parts)
         out.append(Facts(b, n, kind, residue, hash64(masked)))
     return out
 
@@ -269,7 +275,7 @@ class Verdict(NamedTuple):
 NOTHING = Known(frozenset(), {})
 
 
-def verdict(page: list[Facts], known: Known = NOTHING, url: str | None = None) -> Verdict:
+def verdict(page: list[Facts], known: Known = NOTHING, url: str | None = None, stuffing: bool = True) -> Verdict:
     """The main body of a page, and how its words divide into residue, prose, heap and other."""
     page = with_evidence(page, known, url)
     low = [i in known.low and not f.residue for i, f in enumerate(page)]
@@ -287,7 +293,7 @@ def verdict(page: list[Facts], known: Known = NOTHING, url: str | None = None) -
         if not residue or f.kind & PROSE or f.kind & HEAP and f.block.tag not in COLUMNS or not f.kind & LINKS and f.words >= 12 and f.block.tag not in (*COLUMNS, "li"):
             rest.append(f)
     other = sum(f.words for f in rest)
-    return Verdict(lines, "\n".join(page[i].block.text for i in main), residue, other, chunks([(f.block.text, f.words, bool(f.kind & PROSE), bool(f.kind & (HEAP | LINKS)) or f.words < 8 or f.block.tag in COLUMNS) for f in rest]))
+    return Verdict(lines, "\n".join(page[i].block.text for i in main), residue, other, [] if not stuffing else chunks([(f.block.text, f.words, bool(f.kind & PROSE), bool(f.kind & (HEAP | LINKS)) or f.words < 8 or f.block.tag in COLUMNS) for f in rest]))
 
 
 def _top_heading(page: list[Facts], body: list[int], i: int) -> bool:

@@ -102,7 +102,7 @@ def _digest(key: str) -> str | None:
     return xxhash.xxh3_128_hexdigest(key) if key else None
 
 
-def _judge(batches: Iterator[pa.RecordBatch], texts: bool = True) -> Iterator[pa.RecordBatch]:
+def _judge(batches: Iterator[pa.RecordBatch], texts: bool = True, stuffing: bool = True) -> Iterator[pa.RecordBatch]:
     chunk = pa.struct([("chars", pa.int32()), ("words", pa.int32()), ("heaped", pa.int32()), ("ratio", pa.float64()), ("ends", pa.float64()), ("lang", pa.string())])
     kinds = pa.schema(
         [("page_id", pa.int64()), ("lines", pa.list_(pa.int32())), ("text", pa.string()), ("residue", pa.int32()), ("other", pa.int32()), ("chunks", pa.list_(chunk)), ("visible", pa.string()), ("url", pa.string()), ("loaded", pa.int64())]
@@ -120,7 +120,7 @@ def _judge(batches: Iterator[pa.RecordBatch], texts: bool = True) -> Iterator[pa
                     frozenset(i for i, n in own if i < BRANCH_ROW and n & LOW), {i - BRANCH_ROW: n for i, n in own if BRANCH_ROW <= i < WORD_ROW},
                     frozenset(i for i, n in own if i < BRANCH_ROW and n & ANSWERED), frozenset(i - WORD_ROW for i, _ in own if i >= WORD_ROW),
                 )
-                v = verdict(page, known, url)
+                v = verdict(page, known, url, stuffing)
                 for column, value in zip(rows, (page_id, v.lines, v.text if texts else None, v.residue, v.other, [dict(zip(names, c)) for c in v.chunks], key, url, when)):
                     column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(c, kind.type) for c, kind in zip(rows, kinds)], schema=kinds)
@@ -144,7 +144,7 @@ def _evidence(parsed: DataFrame) -> DataFrame:
         F.count("*").cast("int").alias("times"), F.sum("words").alias("words"), F.max(F.col("idx") >= WORD_ROW).alias("word"),
     )
     sums = [F.sum(c).alias(c) for c in ("noisy", "of", "beside", "times", "words")]
-    places = keep(by_article.groupBy("sig", "host", "element").agg(F.count("*").cast("int").alias("pages"), *sums, F.max("word").alias("word"), F.collect_set(salt).alias("salts")))
+    places = keep(by_article.groupBy("sig", "host", "element").agg(F.count("*").cast("int").alias("pages"), *sums, F.max("word").alias("word"), F.collect_set(salt).alias("salts")), now=True)
     important = _importance(places)
     by_host = places.groupBy("sig", "host").agg(*(F.sum(c).alias(c) for c in ("pages", "beside", "noisy", "of", "times")), F.max("word").alias("word"), F.array_distinct(F.flatten(F.collect_list("salts"))).alias("salts"))
     by_crawl = by_host.groupBy("sig").agg(F.count("*").cast("int").alias("hosts"), *(F.sum(c).alias(f"all_{c}") for c in ("pages", "noisy", "of", "beside", "times")), F.max("word").alias("is_word"), F.max("pages").alias("most")).where("all_pages > 2")
@@ -202,13 +202,13 @@ def latest(rows: DataFrame) -> DataFrame:
 _SEEN = ("tie", "idx", "value")
 
 
-def judge_pages(pages: DataFrame, texts: bool = False, keys: bool = False) -> DataFrame:
+def judge_pages(pages: DataFrame, texts: bool = False, keys: bool = False, stuffing: bool = True) -> DataFrame:
     """One row for each page: ``lines`` and ``text`` of the main body, whether the page is ``residual`` (its body is template
     residue, filler, error text or a script notice) or ``stuffed`` (keywords, lists of tags or links), and ``visible``, a
     digest of its visible letters and digits (null without any), its ``url`` and when it was ``loaded``. Of several rows of a page the one loaded last counts,
     then the one with the largest hash of its source.
 
-    ``text`` and ``visible`` cost time and are null unless asked for by ``texts`` and ``keys``.
+    ``text`` and ``visible`` cost time and are null unless asked for by ``texts`` and ``keys``; without ``stuffing`` there is no ``stuffed``.
 
     Null or empty sources give empty lines, no flag and null ``visible``.
     """
@@ -221,11 +221,11 @@ def judge_pages(pages: DataFrame, texts: bool = False, keys: bool = False) -> Da
     judged = keep(
         latest.join(_evidence(parsed), "page_id", "left")
         .select("page_id", "tie", "visible", "body", "url", "loaded", *(F.col(f"evidence.{c}").alias(f"seen_{c}") for c in _SEEN))
-        .mapInArrow(partial(_judge, texts=texts), _JUDGED)
+        .mapInArrow(partial(_judge, texts=texts, stuffing=stuffing), _JUDGED)
         .withColumn("residual", (F.col("residue") > 0) & (F.col("residue") > F.col("other"))),
         now=True,
     )
-    return flag_stuffed(judged)
+    return flag_stuffed(judged) if stuffing else judged
 
 
 def main_lines(judged: DataFrame) -> DataFrame:
