@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from functools import lru_cache
 from typing import NamedTuple
 from urllib.parse import urlsplit
 
@@ -83,17 +84,14 @@ def _site_names(host: str) -> set[str]:
 
 
 def _mask(ws: list[str], names: set[str]) -> str:
-    """Words with digits become 0, words of the site's own name S."""
-    if not names.isdisjoint(ws):
-        out: list[str] = []
-        for w in ws:
-            if w not in names:
-                out.append(w)
-            elif not out or out[-1] != "S":
-                out.append("S")
-        ws = out
-    text = " ".join(ws)
-    return " ".join([w if w.isalpha() else "0" for w in ws]) if _DIGIT.search(text) else text
+    """Words of the site's own name become S."""
+    out: list[str] = []
+    for w in ws:
+        if w not in names:
+            out.append(w)
+        elif not out or out[-1] != "S":
+            out.append("S")
+    return " ".join(out)
 
 
 _DIGIT = re.compile(r"\d")
@@ -108,9 +106,10 @@ def _heap(low: list[str], function: int) -> bool:
         return True
     if n < 16:
         return False
-    different = len(set(low))
-    # a pair that comes so often leaves fewer different words
-    return different < 0.3 * n or different <= 0.78 * n + 2 and 2 * max(Counter(zip(low, low[1:])).values()) > 0.22 * n
+    if len(set(low)) < 0.3 * n:
+        return True
+    # a pair that comes so often leaves fewer different pairs
+    return len(set(zip(low, low[1:]))) < 0.89 * n and 2 * max(Counter(zip(low, low[1:])).values()) > 0.22 * n
 
 
 def _name_parts(names: set[str], tokens: list[list[str]]) -> set[str]:
@@ -121,43 +120,73 @@ def _name_parts(names: set[str], tokens: list[list[str]]) -> set[str]:
     return {x for name in names for k in range(1, len(name)) if name[:k] in seen and name[k:] in seen for x in (name[:k], name[k:])}
 
 
+class Traits(NamedTuple):
+    """What a text shows wherever it stands."""
+
+    low: list[str]  # its words
+    masked: list[str]  # those that its signature is made of
+    mark: str  # behind them
+    stop: bool
+    residue: int
+    heap: bool
+    speech: bool  # enough words of a language, ended like a sentence or long
+    sig: int  # of the words as they are
+
+
+def _traits(text: str) -> Traits:
+    low = _WORD.findall(text.lower())
+    n = len(low)
+    function = sum(map(_is_function, low))
+    stop = _STOP.search(text[-8:]) is not None
+    residue = residue_words(text) if may_be_residue(text, low) else 0
+    heap = _heap(low, function)
+    speech = not heap and 2 * residue <= n and function >= 0.1 * n and (n >= 4 and stop or n >= 9) and not (not stop and _CRUMB.search(text))
+    if speech and n <= 22 and text.endswith("…") and ":" in text and text.count("…") == 1:  # the start of another article
+        speech = False
+    label = _LABEL.match(text) if n <= 14 and not stop and ":" in text else None
+    if label and len(words := _WORD.findall(label.group(1).lower())) <= 3:
+        masked, mark = words, ":"
+    else:
+        masked, mark = _WORD.findall(_CODE.sub(" 0 ", text.lower())) if _CODED.search(text) else low, ""
+    if _DIGIT.search(text):
+        masked = [w if w.isalpha() else "0" for w in masked]
+    return Traits(low, masked, mark, stop, residue, heap, speech, hash64(" ".join(masked) + mark))
+
+
+#: Short texts, of which pages repeat most, are looked at once; so many are remembered at a time.
+_remembered = lru_cache(maxsize=50_000)(_traits)
+_SHORT = 80
+
+
 def facts(source: str | None, host: str, spoken: set[str] | None = None) -> list[Facts]:
     """The blocks of a page with what they show by themselves; ``spoken`` gets the words of its prose."""
     page = blocks(source)
     if not page:
         return []
     names = _site_names(host)
-    tokens = [_WORD.findall(b.text.lower()) for b in page]
+    traits = [_remembered(b.text) if len(b.text) < _SHORT else _traits(b.text) for b in page]
     if names:
-        parts = _name_parts(names, tokens)
+        parts = _name_parts(names, [t.low for t in traits])
     else:  # no address: what follows the title's last dash
         ending = re.split(r"\s[-|–]\s", page[0].text.lower()) if page[0].tag == "title" else []
         parts = set(_WORD.findall(ending[-1])) if len(ending) > 1 else set()
     parts |= names
     out = []
-    for b, low in zip(page, tokens):
-        text = b.text
-        n = len(low)
-        if 2 * b.link > len(text):
+    for b, t in zip(page, traits):
+        n = len(t.low)
+        if 2 * b.link > len(b.text):
             out.append(Facts(b, n, LINKS, 0, 0))
             continue
-        function = sum(map(_is_function, low))
-        stop = _STOP.search(text[-8:]) is not None
-        kind = STOPPED if stop else 0
-        residue = residue_words(text) if b.branch and may_be_residue(text, low) else 0
-        if _heap(low, function):
+        residue = t.residue if b.branch else 0
+        kind = STOPPED if t.stop else 0
+        if t.heap:
             kind |= HEAP
-        elif 2 * residue <= n and function >= 0.1 * n and (n >= 4 and stop or n >= 9) and b.tag not in COLUMNS and not (not stop and _CRUMB.search(text)):
-            if not (text.endswith("…") and ":" in text and n <= 22 and text.count("…") == 1):
-                kind |= PROSE
-                if spoken is not None:
-                    spoken.update(low)
-        label = _LABEL.match(text) if n <= 14 and not stop and ":" in text else None
-        if label and len(_WORD.findall(label.group(1))) <= 3:
-            masked = _mask(_WORD.findall(label.group(1).lower()), parts) + ":"
-        else:
-            masked = _mask(_WORD.findall(_CODE.sub(" 0 ", text.lower())) if _CODED.search(text) else low, parts)
-        out.append(Facts(b, n, kind, residue, hash64(masked)))
+        elif t.speech and b.tag not in COLUMNS:
+            kind |= PROSE
+            if spoken is not None:
+                spoken.update(t.low)
+        sig = t.sig if parts.isdisjoint(t.masked) else hash64(_mask(t.masked, parts) + t.mark)
+        out.append(Facts(b, n, kind, residue, sig))
     return out
 
 

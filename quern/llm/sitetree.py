@@ -10,7 +10,8 @@ of a presentation node is the mean over the words it holds:
     importance = (sum of words * (1 - log d / log N)) / words, those of links included
 
 Branches under ``KEEP`` percent are removed, and within the others the content nodes that mostly occur in branches without
-other prose. Hosts with fewer than ``LEAST`` pages of a node go by the tree of the whole crawl.
+other prose. Where fewer than ``LEAST`` pages of a host have a node, it goes by the other hosts' mean; where those are too few,
+a branch's own prose decides.
 
 Scale: one parse, no shuffle of texts but the one that finds each page's latest row; counts are pre-aggregated and joined
 back on (signature, host, salt), so a host or a footer that owns a third of the crawl is spread over ``SALTS`` tasks.
@@ -143,11 +144,14 @@ def _evidence(parsed: DataFrame) -> DataFrame:
         F.count_if(how == NOISY).cast("int").alias("noisy"), F.count_if(how <= NOISY).cast("int").alias("of"), F.count_if(F.col("how") >= WITH_ARTICLE).cast("int").alias("beside"),
         F.count("*").cast("int").alias("times"), F.sum("words").alias("words"), F.max(F.col("idx") >= WORD_ROW).alias("word"),
     )
-    sums = [F.sum(c).alias(c) for c in ("noisy", "of", "beside", "times", "words")]
-    places = keep(by_article.groupBy("sig", "host", "element").agg(F.count("*").cast("int").alias("pages"), *sums, F.max("word").alias("word"), F.collect_set(salt).alias("salts")), now=True)
-    important = _importance(places)
-    by_host = places.groupBy("sig", "host").agg(*(F.sum(c).alias(c) for c in ("pages", "beside", "noisy", "of", "times")), F.max("word").alias("word"), F.array_distinct(F.flatten(F.collect_list("salts"))).alias("salts"))
-    by_crawl = by_host.groupBy("sig").agg(F.count("*").cast("int").alias("hosts"), *(F.sum(c).alias(f"all_{c}") for c in ("pages", "noisy", "of", "beside", "times")), F.max("word").alias("is_word"), F.max("pages").alias("most")).where("all_pages > 2")
+    counts = ("noisy", "of", "beside", "times", "words")
+    places = by_article.groupBy("sig", "host", "element").agg(
+        F.count("*").cast("int").alias("pages"), *(F.sum(c).alias(c) for c in counts), F.max("word").alias("word"), F.bit_or(F.expr(f"shiftleft(1, cast(pmod(article, {SALTS}) as int))")).alias("salts")
+    )
+    # a row for each node, host and branch: what the pages of a host share is one row here, so no signature is too many rows for a task
+    places = keep(places.repartition(int(parsed.sparkSession.conf.get("spark.sql.shuffle.partitions")), "sig"), now=True)
+    by_host = places.where("sig <> element").groupBy("sig", "host").agg(*(F.sum(c).alias(c) for c in ("pages", *counts[:4])), F.max("word").alias("word"), F.bit_or("salts").alias("salts"))
+    by_crawl = by_host.groupBy("sig").agg(F.count("*").cast("int").alias("hosts"), *(F.sum(c).alias(f"all_{c}") for c in ("pages", *counts[:4])), F.max("word").alias("is_word"), F.max("pages").alias("most")).where("all_pages > 2")
     everywhere = F.try_divide("all_noisy", "all_of")
     # a repeated node amid prose is the article's own, so is one that no host has on several articles, as an article's copies have;
     # without markup anywhere to tell, what many pages of the host have is not
@@ -163,33 +167,34 @@ def _evidence(parsed: DataFrame) -> DataFrame:
             "salts",
         )
         .where("value is not null")
-        .unionByName(important)
-        .select("node", "value", F.explode("salts").alias("salt"))
+        .unionByName(_importance(places))
+        .select("node", "value", F.explode(F.filter(F.sequence(F.lit(0), F.lit(SALTS - 1)), lambda k: F.getbit("salts", k) == 1)).alias("salt"))
     )
     return (
-        nodes.select("page_id", "tie", "idx", F.when((F.col("idx") < BRANCH_ROW) | (F.col("idx") >= WORD_ROW), F.xxhash64("sig", "host")).otherwise(F.xxhash64("element", "host", "sig")).alias("node"), salt.alias("salt"))
-        .join(tree, ["node", "salt"])
+        nodes.select("page_id", "tie", "idx", F.xxhash64("sig", "host").alias("node"), salt.alias("salt"))
+        .join(tree.hint("shuffle_hash"), ["node", "salt"])
         .groupBy("page_id")
         .agg(F.collect_list(F.struct("tie", "idx", "value")).alias("evidence"))
     )
 
 
 def _importance(places: DataFrame) -> DataFrame:
-    """(node, value, salts): of each branch's node on each host its importance in percent, where it is told."""
-    held = places.where("element <> 0 and sig <> element")
-    nodes = places.where("element <> 0 and sig = element")
-    entropy = F.sum(F.col("words") * F.log("pages"))
-    here = held.groupBy("element", "host").agg(F.sum("words").alias("held"), entropy.alias("h"))
-    crawl = nodes.groupBy("element").agg(F.sum("pages").alias("all_pages"), F.sum("words").alias("all_words"), F.count("*").alias("hosts")).where(f"all_pages >= {LEAST} and hosts > 2")
-    alike = held.groupBy("element", "sig").agg(F.sum("words").alias("words"), F.sum("pages").alias("pages"))
-    crawl = crawl.join(alike.groupBy("element").agg(F.sum("words").alias("all_held"), entropy.alias("all_h")), "element", "left")
-    told = lambda words, held, h, n: (F.coalesce(held, F.lit(0)) - F.coalesce(h, F.lit(0.0)) / F.log(n)) / F.greatest(words, F.lit(1))
-    value = F.when(F.col("pages") >= LEAST, told(F.col("words"), F.col("held"), F.col("h"), F.col("pages"))).otherwise(told(F.col("all_words"), F.col("all_held"), F.col("all_h"), F.col("all_pages")))
+    """(node, value, salts): of each branch's node on each host its importance in percent; where too few pages of the host have it,
+    that of other hosts, if there are enough. The signature of such a node is its element's, which no content has."""
+    own = F.col("sig") == F.col("element")
+    of_node = lambda c: F.max(F.when(own, F.col(c)))
+    nodes = places.where("element <> 0").groupBy("element", "host").agg(
+        of_node("pages").alias("pages"), of_node("words").alias("words"), of_node("salts").alias("salts"),
+        F.sum(F.when(~own, F.col("words"))).alias("held"), F.sum(F.when(~own, F.col("words") * F.log("pages"))).alias("h"),
+    )
+    here = F.when(F.col("pages") >= LEAST, (F.coalesce("held", F.lit(0)) - F.coalesce("h", F.lit(0.0)) / F.log("pages")) / F.greatest("words", F.lit(1)))
+    nodes = nodes.select("element", "host", "salts", here.alias("here"))
+    others = nodes.where("here is not null").groupBy("element").agg(F.avg("here").alias("others"), F.count("*").alias("hosts")).where(f"hosts >= {HOSTS}")
+    value = F.coalesce("here", "others")
     return (
-        nodes.join(here, ["element", "host"], "left")
-        .join(crawl, "element", "left")
-        .select(F.xxhash64("element", "host", "sig").alias("node"), F.when(value.isNotNull(), F.greatest(F.round(100 * value), F.lit(0))).cast("int").alias("value"), "salts")
-        .where("value is not null")
+        nodes.join(others, "element", "left")
+        .where(value.isNotNull())
+        .select(F.xxhash64(F.col("element"), F.col("host")).alias("node"), F.greatest(F.round(100 * value), F.lit(0)).cast("int").alias("value"), "salts")
     )
 
 
