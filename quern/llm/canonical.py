@@ -38,7 +38,8 @@ def canonical_url(url: Column) -> Column:
     text = F.regexp_replace(url, f"^{blank}|{blank}$", "")
     text = F.regexp_replace(text, r"(?s)#.*$", "")
     form = r"(?s)^([A-Za-z][A-Za-z0-9+.\-]*)://([^/?]*)([^?]*)(\?.*)?$"
-    part = lambda k: F.regexp_extract(text, form, k)
+    parts = F.split(F.regexp_replace(text, form, "$1\n$2\n$3\n$4"), "\n")  # nothing of an address changes by a line feed in it but the parts
+    part = lambda k: F.coalesce(F.get(parts, k - 1), F.lit(""))
     scheme = F.lower(part(1))
     user = F.regexp_extract(part(2), r"^(.*@)?", 0)
     host = F.lower(F.regexp_replace(part(2), r"^.*@", ""))

@@ -62,17 +62,6 @@ def words(text: str) -> list[str]:
     return [w.lower() for w in _WORD.findall(text)]
 
 
-def visible_key(source: str | None) -> str:
-    """The letters and digits of the whole visible text, case folded."""
-    if not source:
-        return ""
-    if is_markup(source):
-        source = _TAG.sub(" ", _HIDDEN.sub(" ", source))
-    if "&" in source:
-        source = html.unescape(source)
-    return "".join(_WORD.findall(source)).casefold()
-
-
 def blocks(source: str | None) -> list[Block]:
     if not source:
         return []

@@ -158,23 +158,35 @@ _remembered = lru_cache(maxsize=50_000)(_traits)
 _SHORT = 80
 
 
-def facts(source: str | None, host: str, spoken: set[str] | None = None) -> list[Facts]:
-    """The blocks of a page with what they show by themselves; ``spoken`` gets the words of its prose."""
+def facts(source: str | None, host: str, spoken: set[str] | None = None, shown: list[str] | None = None) -> list[Facts]:
+    """The blocks of a page with what they show by themselves; ``spoken`` gets the words of its prose, ``shown`` the letters and
+    digits of all that is visible."""
     page = blocks(source)
     if not page:
         return []
     names = _site_names(host)
-    traits = [_remembered(b.text) if len(b.text) < _SHORT else _traits(b.text) for b in page]
+    traits: list[Traits | None] = []
+    tokens: list[list[str]] = []
+    for b in page:
+        text = b.text
+        if 2 * b.link > len(text):
+            traits.append(None)
+            tokens.append(_WORD.findall(text.lower()))
+        else:
+            traits.append(t := _remembered(text) if len(text) < _SHORT else _traits(text))
+            tokens.append(t.low)
+    if shown is not None:
+        shown.append("".join(map("".join, tokens)).casefold())
     if names:
-        parts = _name_parts(names, [t.low for t in traits])
+        parts = _name_parts(names, tokens)
     else:  # no address: what follows the title's last dash
         ending = re.split(r"\s[-|–]\s", page[0].text.lower()) if page[0].tag == "title" else []
         parts = set(_WORD.findall(ending[-1])) if len(ending) > 1 else set()
     parts |= names
     out = []
-    for b, t in zip(page, traits):
-        n = len(t.low)
-        if 2 * b.link > len(b.text):
+    for b, t, low in zip(page, traits, tokens):
+        n = len(low)
+        if t is None:
             out.append(Facts(b, n, LINKS, 0, 0))
             continue
         residue = t.residue if b.branch else 0
@@ -184,7 +196,7 @@ def facts(source: str | None, host: str, spoken: set[str] | None = None) -> list
         elif t.speech and b.tag not in COLUMNS:
             kind |= PROSE
             if spoken is not None:
-                spoken.update(t.low)
+                spoken.update(low)
         sig = t.sig if parts.isdisjoint(t.masked) else hash64(_mask(t.masked, parts) + t.mark)
         out.append(Facts(b, n, kind, residue, sig))
     return out

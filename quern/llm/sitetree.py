@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..storage import keep
-from .pagetext import Block, visible_key
+from .pagetext import Block
 from .siteblocks import BRANCH_ROW, NOISY, WITH_ARTICLE, WORD_ROW, Facts, Known, article_key, facts, hash64, host_of, signatures, verdict, word_node
 from .stuffing import CHUNK_TYPE, flag_stuffed
 
@@ -74,10 +74,10 @@ def _parse(batches: Iterator[pa.RecordBatch], keys: bool = True) -> Iterator[pa.
             rows: list[list] = [[] for _ in kinds]
             for page_id, url, source, when in zip(ids, urls, sources, loaded):
                 host = host_of(url)
-                page = facts(source, host, words := set())
+                page = facts(source, host, words := set(), shown := [] if keys else None)
                 spoken.update(words)
                 nodes = signatures(page)
-                key = visible_key(source) if keys else ""
+                key = shown[0] if shown else ""
                 row = (
                     page_id, when, hash64(source or ""), hash64(host), article_key(page, host), *([n[c] for n in nodes] for c in range(5)), _digest(key), marshal.dumps([(*f.block, *f[1:4], 0) for f in page]), url,
                 )

@@ -42,8 +42,8 @@ CHUNK_TYPE = "array<struct<chars:int,words:int,heaped:int,ratio:double,ends:doub
 
 def _language(low: list[str]) -> str:
     votes: dict[str, int] = {}
-    for w in low:
-        for k in _LANG.get(w, ()):
+    for w in filter(_LANG.__contains__, low):
+        for k in _LANG[w]:
             votes[k] = votes.get(k, 0) + 1
     best = max(votes, key=lambda k: (votes[k], k), default="")
     return best if best and 20 * votes[best] >= len(low) else ""

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quern.llm import canonical, distinctive, langid, leakage, neardup, packing, siteblocks, sitetree
-from quern.llm.pagetext import blocks, visible_key
+from quern.llm.pagetext import blocks
 from quern.llm.residue import residue_words
 
 PAGES = "page_id long, url string, content string, html string, loaded_at timestamp, lines int"
@@ -58,7 +58,9 @@ def test_residue_is_not_about_residue():
 def test_blocks_and_visible_text():
     page = blocks("<p>a<b>b</b>\nc</p><script>x</script><ul><li>d")
     assert [(b.text, b.lines) for b in page] == [("ab c", [1, 2]), ("d", [2])]
-    assert blocks(None) == [] and visible_key("<p>A&eacute;, b</p><style>z</style>") == "aéb" and visible_key(None) == ""
+    shown = []
+    siteblocks.facts("<p>A&eacute;, b</p><style>z</style>", "", None, shown)
+    assert blocks(None) == [] and shown == ["aéb"]
 
 
 def test_urls_and_ledger(spark):
