@@ -1,7 +1,8 @@
 """Zones and links of a page: title, headings, bold text, body and anchors.
 
-Parsing is lenient: what is left open is closed by the end of its paragraph (bold) or of the page. Script, style and noscript
-are invisible, links in them too. Text nodes are joined by a space, so markup inside a word splits it.
+Parsing is lenient: what is left open is closed by the next block (bold, headings) or the end of the page. Script, style and noscript
+are invisible, links in them too. Text nodes are joined by a space, so markup inside a word splits it. The body is all text
+outside of the title, whether or not there is a body element.
 """
 
 from __future__ import annotations
@@ -20,13 +21,12 @@ class _Zones(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.body: list[str] = []
-        self.loose: list[str] = []
         self.title: list[str] | None = None
         self.zones: dict[str, list[tuple[int, list[str]]]] = {"head": [], "bold": []}
         self.links: list[tuple[str | None, list[str]]] = []
         self.open: list[tuple[str, list[str]]] = []
         self.invisible = ""
-        self.in_title = self.in_body = self.had_body = False
+        self.in_title = False
 
     def handle_starttag(self, tag, attrs):
         if self.invisible:
@@ -38,15 +38,13 @@ class _Zones(HTMLParser):
             self.in_title = self.title is None
             if self.in_title:
                 self.title = []
-        elif tag == "body":
-            self.in_body = self.had_body = True
         elif tag == "a":
             self._close("a")
             parts: list[str] = []
             self.links.append((dict(attrs).get("href"), parts))
             self.open.append(("a", parts))
         if tag in BLOCKS:
-            self._close("b", "strong")
+            self._close("b", "strong", "h1", "h2", "h3")
         if tag in ZONES:
             parts = []
             self.zones[ZONES[tag]].append((len(self.body), parts))
@@ -62,8 +60,6 @@ class _Zones(HTMLParser):
             return
         if tag == "title":
             self.in_title = False
-        elif tag == "body":
-            self.in_body = False
         elif tag in ZONES or tag == "a":
             for k in range(len(self.open) - 1, -1, -1):
                 if self.open[k][0] == tag:
@@ -77,9 +73,7 @@ class _Zones(HTMLParser):
             return
         if self.in_title and self.title is not None:
             self.title.append(data)
-            self.loose.append(data)
             return
-        self.loose.append(data)
         self.body.append(data)
         for _, parts in self.open:
             parts.append(data)
@@ -96,7 +90,7 @@ def parse_page(source: str | None, url: str | None) -> dict:
         if (target := resolve(base, href)) is not None:
             links.append((normalize_url(target), " ".join(parts)))
     return {
-        "body": " ".join(page.body if page.had_body else page.loose),
+        "body": " ".join(page.body),
         "title": " ".join(page.title or ()),
         "head": " ".join(" ".join(p) for _, p in page.zones["head"]),
         "bold": " ".join(" ".join(p) for _, p in page.zones["bold"]),

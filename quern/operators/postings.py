@@ -30,8 +30,18 @@ def lexicon(postings: DataFrame, key: str) -> DataFrame:
     return postings.groupBy(key).agg(F.count("*").alias("df"))
 
 
-def norms(postings: DataFrame, lexicon: DataFrame, key: str, tf: str, n: int) -> DataFrame:
-    """(doc_id, norm): root of the summed squared weights of the terms that not every document has; 1 where that is 0."""
+#: A term's postings are spread over so many tasks where they meet its df.
+SALTS = 16
+
+
+def norms(postings: DataFrame, key: str, tf: str, n: int) -> DataFrame:
+    """(doc_id, norm): root of the summed squared weights of the terms that not every document has; 1 where that is 0.
+
+    The postings are spread by (term, salt), counted there, and meet the summed counts where they are, so a term that a third
+    of the documents have is no task of its own."""
+    spread = postings.select(key, "doc_id", tf, F.pmod(F.hash("doc_id"), F.lit(SALTS)).alias("salt")).repartition(key, "salt")
+    parts = spread.groupBy(key, "salt").agg(F.count("*").alias("some"))
+    totals = parts.groupBy(key).agg(F.sum("some").alias("df"), F.collect_list("salt").alias("salts")).where(F.col("df") != n).select(key, "df", F.explode("salts").alias("salt"))
     w = weight(F.col(tf), F.col("df"), float(n))
-    squares = postings.select(key, "doc_id", tf).join(lexicon, key).where(F.col("df") != n).groupBy("doc_id").agg(F.sum(w * w).alias("s"))
+    squares = spread.join(totals, [key, "salt"]).groupBy("doc_id").agg(F.sum(w * w).alias("s"))
     return squares.select("doc_id", F.when(F.col("s") > 0, F.sqrt("s")).otherwise(F.lit(1.0)).alias("norm"))

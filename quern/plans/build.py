@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from ..config import EngineConfig
-from ..functions.hashing import exact_fingerprint, simhash64
+from ..functions.hashing import simhash64
 from ..functions.text import bigrams, tokens
 from ..operators import dedup, links, postings, search
 from ..storage import written
@@ -105,8 +105,11 @@ class Index:
                 tables[name] = spark.createDataFrame([], empty[name])
         return cls(config, **tables)
 
-    def lookup(self, *terms: str) -> DataFrame:
-        """(term, df, doc_id, tfw, positions) of the given terms, found by their ranges and bloom filters."""
+    def lookup(self, *terms: str | DataFrame) -> DataFrame:
+        """(term, df, doc_id, tfw, positions) of the given terms, found by their ranges and bloom filters, or of a table (term)."""
+        if len(terms) == 1 and isinstance(terms[0], DataFrame):
+            asked = terms[0].select("term").distinct()
+            return self.postings.join(asked, "term", "left_semi").join(self.lexicon.join(asked, "term", "left_semi"), "term")
         return self.postings.where(F.col("term").isin(*terms)).join(self.lexicon.where(F.col("term").isin(*terms)), "term")
 
     def register_views(self, prefix: str = "index_") -> None:
@@ -165,7 +168,7 @@ def build_index(parsed: DataFrame, config: EngineConfig = EngineConfig(), n_path
     n_pages = pages.count()
     n_docinfo = mapping.where("doc_id = canonical_id").count()
     n_indexed = n_docinfo + max(0, (n_paths or n_pages) - n_pages)
-    one, two = postings.norms(unigrams, lex, "term", "tfw", n_indexed), postings.norms(pairs, lex2, "bigram", "tf", n_indexed).withColumnRenamed("norm", "norm2")
+    one, two = postings.norms(unigrams, "term", "tfw", n_indexed), postings.norms(pairs, "bigram", "tf", n_indexed).withColumnRenamed("norm", "norm2")
     dups = dedup.duplicate_urls(mapping, pages.select("doc_id", "url")).withColumnRenamed("canonical_id", "doc_id")
     docinfo = (
         canonical.select("doc_id", "url")
@@ -177,6 +180,3 @@ def build_index(parsed: DataFrame, config: EngineConfig = EngineConfig(), n_path
     stats = parsed.sparkSession.createDataFrame([(n_paths or n_pages, n_indexed, n_docinfo)], "n_paths long, n_indexed long, n_docinfo long")
     return Index(config, unigrams, pairs, lex, lex2, written(docinfo, "docinfo"), mapping, stats)
 
-
-def exact_fingerprints(texts: DataFrame) -> DataFrame:
-    return texts.select("doc_id", exact_fingerprint(F.col("text")).alias("sha"))

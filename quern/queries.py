@@ -6,6 +6,7 @@ use unstemmed terms, since SQL has no stemmer.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,7 +20,7 @@ from .functions.urls import normalize_column
 from .operators import dedup, heavy, links, postings, search
 from .plans import build
 from .sources.pages import page_table
-from .storage import keep, written
+from .storage import keep, new_path, written
 
 #: Share of all different (term, document) pairs from which a term is dominant.
 DOMINANT = 0.01
@@ -68,14 +69,21 @@ def bigram_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
     return postings.lexicon(bigram_postings(spark, sf_dir), "bigram")
 
 
+_INDEXES: dict[tuple[str, str], search.SearchTables] = {}
+
+
 def _tables(spark: SparkSession, sf_dir: str) -> search.SearchTables:
-    one, two = keep(postings.unigram_postings(_weighted(spark, sf_dir))), keep(bigram_postings(spark, sf_dir))
-    lex, lex2 = keep(postings.lexicon(one, "term")), keep(postings.lexicon(two, "bigram"))
+    """The search tables of the documents, built and written once in a Spark application and then read by each query."""
+    if (found := _INDEXES.get(key := (spark.sparkContext.applicationId, sf_dir))) is not None:
+        return found
+    one, two = written(postings.unigram_postings(_weighted(spark, sf_dir)), "postings"), written(bigram_postings(spark, sf_dir), "bigrams")
+    lex, lex2 = written(postings.lexicon(one, "term"), "lexicon"), written(postings.lexicon(two, "bigram"), "lexicon2")
     documents = _table(spark, sf_dir, "documents").select("doc_id", "url")
     n = documents.count()
-    norm2 = postings.norms(two, lex2, "bigram", "tf", n).withColumnRenamed("norm", "norm2")
-    info = keep(documents.join(postings.norms(one, lex, "term", "tfw", n), "doc_id", "left").join(norm2, "doc_id", "left").select("doc_id", "url", "norm", "norm2"))
-    return search.SearchTables(one, two, lex, lex2, info, n)
+    norm2 = postings.norms(two, "bigram", "tf", n).withColumnRenamed("norm", "norm2")
+    info = written(documents.join(postings.norms(one, "term", "tfw", n), "doc_id", "left").join(norm2, "doc_id", "left").select("doc_id", "url", "norm", "norm2"), "docinfo")
+    found = _INDEXES[key] = search.SearchTables(one, two, lex, lex2, info, n)
+    return found
 
 
 def idf_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -117,10 +125,21 @@ def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _tokens(spark, sf_dir).where("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), "terms")
 
 
+def _short(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three queries of two or three words from each document whose id is divisible by 100: neighbours, distant ones, and a run."""
+    words = [F.slice("terms", 2, 2), F.array(F.get("terms", 1), F.get("terms", 8)), F.slice("terms", 1, 3)]
+    texts = _tokens(spark, sf_dir).where("doc_id % 100 = 0 and size(terms) >= 9")
+    return texts.select(F.col("doc_id"), F.posexplode(F.array(*words)).alias("k", "terms")).select((3 * F.col("doc_id") + F.col("k")).alias("query_id"), "terms")
+
+
 def boolean_and(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.boolean_and(search.query_terms(_asked(spark, sf_dir)), _tables(spark, sf_dir).postings)
 
 
+def boolean_or(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.boolean_or(search.query_terms(_short(spark, sf_dir)), _tables(spark, sf_dir).postings)
+
+
 def unigram_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = _tables(spark, sf_dir)
     rows = search.cosine(search.query_terms(_asked(spark, sf_dir)), "term", t.postings, t.lexicon, "tfw", t.docinfo, "norm", t.n)
@@ -150,6 +169,49 @@ def search_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.ranked(search.scored_candidates(_asked(spark, sf_dir), t, PLAIN), t.docinfo, PLAIN.top_k)
 
 
+#: Limits so small that short queries reach every tier and every limit.
+NARROW = EngineConfig(stem=False, min_results=3, phrase_docs=20, max_candidates=7)
+
+
+def search_short(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Short queries under small limits, so that all tiers answer and both limits bind."""
+    rows = search.scored_candidates(_short(spark, sf_dir), _tables(spark, sf_dir), NARROW)
+    return rows.select("query_id", "doc_id", F.round("unigram", 6).alias("unigram"), F.round("bigram", 6).alias("bigram"), F.round("boost", 6).alias("boost"), F.round("score", 6).alias("score"), "candidates")
+
+
+_SAVED: dict[tuple[str, str], str] = {}
+
+
+def _saved_index(spark: SparkSession, sf_dir: str) -> build.Index:
+    """The whole way: texts to an index without duplicates, saved once in a Spark application, and loaded for each query."""
+    if (path := _SAVED.get(key := (spark.sparkContext.applicationId, sf_dir))) is None:
+        path = _SAVED[key] = new_path(spark, "index")
+        build.build_index(build.texts_as_pages(_table(spark, sf_dir, "documents")), PLAIN).save(path)
+    return build.Index.load(spark, path, PLAIN)
+
+
+def saved_index_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked = _short(spark, sf_dir).select("query_id", F.array_join("terms", " ").alias("text"))
+    return _saved_index(spark, sf_dir).search(asked).select("query_id", "rank", "doc_id", "score", "candidates")
+
+
+def saved_index_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Point lookups: df, weights and positions of the words of the short queries, their whole posting lists."""
+    asked = _short(spark, sf_dir).select(F.explode("terms").alias("term"))
+    rows = _saved_index(spark, sf_dir).lookup(asked)
+    return rows.select("term", "df", "doc_id", "tfw", F.array_join(F.transform("positions", lambda x: x.cast("string")), ",").alias("positions"))
+
+
+def saved_index_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored document table: norms and the addresses of duplicates."""
+    rows = _saved_index(spark, sf_dir).docinfo
+    return rows.select("doc_id", F.round("norm", 6).alias("norm"), F.round("norm2", 6).alias("norm2"), F.array_join("dup_urls", " ").alias("dup_urls"))
+
+
+def build_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _saved_index(spark, sf_dir).stats
+
+
 def _zones(spark: SparkSession, sf_dir: str) -> DataFrame:
     return build.parse_zones(page_table(_table(spark, sf_dir, "pages")))
 
@@ -205,13 +267,6 @@ def posting_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("block_id", "term", "doc_id", F.size("positions").alias("n"), F.array_max("positions").alias("last"))
 
 
-def index_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents of the queries' ids by themselves: their own postings with the df of the block. For lookups see ``posting_lookup``."""
-    rows = _table(spark, sf_dir, "postings").where("doc_id % 100 = 0")
-    lex = _table(spark, sf_dir, "lexicon").groupBy("block_id", "term").agg(F.max("df").alias("df"))
-    return rows.select("block_id", "term", "doc_id").distinct().join(lex, ["block_id", "term"])
-
-
 def posting_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Point lookups in the stored postings: of every term in a document of the queries' ids its df in all blocks and its whole posting list."""
     rows = _table(spark, sf_dir, "postings").where("term is not null and doc_id is not null")
@@ -238,7 +293,7 @@ _QUERIES = (
     tokenize_documents, term_frequency, document_frequency, corpus_stats, term_positions, bigram_postings, bigram_lexicon, idf_weights, doc_norms,
     exact_duplicates, hash64_terms, simhash_documents, lsh_bands, near_duplicate_pairs, canonical_documents, boolean_and, unigram_cosine,
     bigram_cosine, phrase_hits, search_candidates, search_ranked, page_zones, page_links, normalized_urls, url_owner, anchor_tf, weighted_tf, page_docinfo,
-    search_pages_stemmed, positions_codec_roundtrip, posting_positions, index_lookup, posting_lookup, p5_found, p5_totals,
+    search_pages_stemmed, positions_codec_roundtrip, posting_positions, posting_lookup, boolean_or, search_short, saved_index_search, saved_index_lookup, saved_index_documents, build_stats, p5_found, p5_totals,
 )
 
 
@@ -286,8 +341,69 @@ _SIMHASH = _TF + """, h as (select doc_id, tf, ('0x' || substr(sha1(term), 1, 16
     fps as (select d.doc_id, coalesce(fp, 0)::ubigint u, case when coalesce(fp, 0) >= 9223372036854775808 then (coalesce(fp, 0)::hugeint - 18446744073709551616)::bigint else coalesce(fp, 0)::bigint end fp from d left join s using (doc_id))"""
 
 
+# What an address loses before it is parsed, and the schemes whose last path part can have parameters.
+_NURL = r"""pg as (select page_id, coalesce(nullif(url, ''), src_path) raw from pages where page_id is not null qualify row_number() over (partition by page_id order by loaded_at desc nulls last) = 1),
+    cl as (select page_id, raw, regexp_replace(regexp_replace(raw, '^[\x00-\x20]+', ''), '[\t\r\n]', '', 'g') u from pg),
+    fr as (select page_id, raw, case when contains(raw, '#') then regexp_replace(u, '#.*$', '') else raw end f from cl),
+    f2 as (select page_id, regexp_replace(regexp_replace(f, '^[\x00-\x20]+', ''), '[\t\r\n]', '', 'g') u from fr),
+    sc as (select page_id, lower(regexp_extract(u, '^([A-Za-z][A-Za-z0-9+.\-]*):', 1)) s, regexp_replace(u, '^[A-Za-z][A-Za-z0-9+.\-]*:', '') r from f2),
+    ne as (select page_id, s, starts_with(r, '//') has, lower(regexp_extract(r, '^//([^/?]*)', 1)) h, regexp_replace(r, '^//[^/?]*', '') r from sc),
+    pa as (select page_id, s, has, case when s = 'http' then regexp_replace(h, ':80$', '') when s = 'https' then regexp_replace(h, ':443$', '') else h end h, regexp_extract(r, '^([^?]*)', 1) p, case when contains(r, '?') then regexp_replace(r, '^[^?]*\?', '') else '' end q from ne),
+    nu as (select page_id, case when s <> '' then s || ':' else '' end || case when h <> '' then '//' || h || case when p <> '' and not starts_with(p, '/') then '/' else '' end else '' end || regexp_replace(p, '(^|/)([^/;]*);[^/]*$', '\1\2') || case when q <> '' then '?' || q else '' end nurl from pa)"""
+_CANON = (
+    _SIMHASH
+    + """, r as (select u, min(doc_id) id from fps group by u),
+    near as (select x.id a, y.id b, x.u ua, y.u ub, bit_count(xor(x.u, y.u))::int dist from r x join r y on x.id <> y.id where bit_count(xor(x.u, y.u)) <= 5
+        and (x.u & 65535::ubigint = y.u & 65535::ubigint or (x.u >> 16) & 65535::ubigint = (y.u >> 16) & 65535::ubigint or (x.u >> 32) & 65535::ubigint = (y.u >> 32) & 65535::ubigint or x.u >> 48 = y.u >> 48)),
+    turns as (select b, list(a) earlier, row_number() over (order by b) k from near where a < b group by b),
+    scan(k, dup) as (select 0::bigint, []::bigint[] union all
+        select t.k, case when len(list_filter(t.earlier, lambda x: not list_contains(s.dup, x))) > 0 then list_append(s.dup, t.b) else s.dup end from scan s join turns t on t.k = s.k + 1),
+    last as (select dup from scan order by k desc limit 1),
+    canon as (select id, u from r, last where not list_contains(dup, id)),
+    reach as (select f.doc_id, c.id, 0 dist from fps f join canon c on f.u = c.u union all select f.doc_id, n.a, n.dist from fps f join near n on f.u = n.ub join canon c on c.id = n.a where n.a <= f.doc_id),
+    cmap as (select doc_id, id canonical_id, dist from reach where id <= doc_id qualify row_number() over (partition by doc_id order by case when id = doc_id then -1 else dist end, id) = 1)"""
+)
+_KEPT_D = _D.replace("d as (", "alld as (") + ", d as (select * from alld semi join (select doc_id from cmap where doc_id = canonical_id) using (doc_id))"
+
+
+def _kept(sql: str) -> str:
+    """A query on the documents that are their own canonical document, by another name for what the duplicates are found with."""
+    own = _CANON
+    for name in ("d", "tok", "tf", "df", "n", "h", "v", "s"):
+        own = re.sub(rf"\b{name} as \(", f"z{name} as (", own)
+        own = re.sub(rf"\b(from|join) {name}\b(?! on| as)", rf"\1 z{name} {name}", own)
+    return f"with recursive {own}, " + re.sub(r"\bd as \(select doc_id, url, text, (.*?) from documents\)", r"d as (select doc_id, url, text, \1 from documents semi join (select doc_id from cmap where doc_id = canonical_id) using (doc_id))", sql.removeprefix("with "), count=1)
+
+
+_SHORT = """raw as (select doc_id, unnest(range(3)) k, list_transform(regexp_extract_all(coalesce(text, ''), '[A-Za-z0-9]+'), lambda x: lower(x)) t from documents where doc_id % 100 = 0),
+    shortq as (select 3 * doc_id + k query_id, case k when 0 then t[2:3] when 1 then [t[2], t[9]] else t[1:3] end ts from raw where len(t) >= 9), asked as (select query_id, unnest(range(len(ts)))::int pos, unnest(ts) term from shortq)"""
+_FULL_ASKED = "asked as (select doc_id query_id, pos, term from tok where doc_id % 100 = 0)"
+
+
+def _short_search(min_results: int, phrase_docs: int, most: int) -> str:
+    sql = _SEARCH.replace(_FULL_ASKED, _SHORT).replace("<= 5000), hits", f"<= {phrase_docs}), hits").replace("<= 5000),\n    counted", f"<= {most}),\n    counted")
+    return sql.replace("np >= 50", f"np >= {min_results}").replace("na >= 50", f"na >= {min_results}").replace("p score from docs join tier", "p score, u, b, p from docs join tier")
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "canonical_documents": f"with recursive {_CANON} select doc_id, canonical_id, dist from cmap",
+        "boolean_or": f"with {_TF}, {_SHORT} select distinct query_id, doc_id from asked join tf using (term)",
+        "search_short": f"{_short_search(3, 20, 7)} select query_id, doc_id, round(u, 6) unigram, round(b, 6) bigram, round(p, 6) boost, round(score, 6) score, candidates from counted",
+        "saved_index_search": _kept(f"""{_short_search(50, 5000, 5000)}, rounded as (select query_id, doc_id, round(score, 6) score, candidates from counted)
+            select query_id, row_number() over (partition by query_id order by score desc, doc_id)::int rank, doc_id, score, candidates from rounded qualify rank <= 10"""),
+        "saved_index_lookup": _kept(f"""with {_TOK}, {_SHORT}, p as (select term, doc_id, count(*) tfw, string_agg(pos::varchar, ',' order by pos) positions from tok group by term, doc_id)
+            select term, count(*) over (partition by term) df, doc_id, tfw, positions from p semi join asked using (term)"""),
+        "saved_index_documents": _kept(f"""with {_TF}, {_BI}, {_NORMS}, dups as (select canonical_id doc_id, string_agg(coalesce(url, ''), ' ' order by doc_id) dup_urls from cmap join documents using (doc_id) where doc_id <> canonical_id group by 1)
+            select doc_id, round(coalesce(m1.norm, 1), 6) norm, round(coalesce(m2.norm, 1), 6) norm2, coalesce(dup_urls, '') dup_urls from d left join m1 using (doc_id) left join m2 using (doc_id) left join dups using (doc_id)"""),
+        "build_stats": f"with recursive {_CANON} select count(*) n_paths, count(*) filter (doc_id = canonical_id) n_indexed, count(*) filter (doc_id = canonical_id) n_docinfo from cmap",
+        "posting_positions": """with p as (select row_number() over () r, block_id, term, doc_id, hex(from_base64(positions_b64)) h from postings),
+            b as (select r, unnest(range(len(h) // 2)) i, unnest(list_transform(range(len(h) // 2), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::int)) x from p),
+            g as (select r, x, i, coalesce(max(case when x < 128 then i end) over (partition by r order by i rows between unbounded preceding and 1 preceding), -1) ended from b),
+            s as (select r, count(*) filter (x < 128) n, sum((x & 127)::hugeint << (7 * (i - ended - 1))::int) last from g group by r)
+            select block_id, term, doc_id, coalesce(n, 0)::int n, last::bigint last from p left join s using (r)""",
+        "normalized_urls": f"with {_NURL} select page_id + 1 doc_id, nurl from nu",
+        "url_owner": f"with {_NURL} select nurl, min(page_id + 1) as owner from nu where nurl <> '' group by nurl",
         "tokenize_documents": f"with {_TOK} select doc_id, pos, term from tok",
         "term_frequency": f"with {_TF} select doc_id, term, tf from tf",
         "document_frequency": f"with {_TF} select term, df from df",
@@ -313,8 +429,6 @@ def oracle_sql() -> dict[str, str]:
             select query_id, row_number() over (partition by query_id order by score desc, doc_id)::int rank, doc_id, score, coalesce(nullif(url, ''), 'doc:' || doc_id) url, candidates
             from r left join (select doc_id, url from documents) using (doc_id) qualify rank <= 10""",
         "positions_codec_roundtrip": "select block_id, term, doc_id, positions_b64 from postings",
-        "index_lookup": """with l as (select block_id, term, max(df) df from lexicon group by all)
-            select block_id, term, doc_id, df from (select distinct block_id, term, doc_id from postings where doc_id % 100 = 0) join l using (block_id, term)""",
         "posting_lookup": """with asked as (select distinct term from postings where doc_id % 100 = 0), p as (select term, block_id, doc_id, max(tfw) tfw, max(positions_b64) positions_b64 from postings where term is not null and doc_id is not null group by all),
             l as (select term, sum(df)::bigint df from (select block_id, term, max(df) df from lexicon group by all) group by term)
             select term, df, block_id, doc_id, tfw, positions_b64 from p semi join asked using (term) join l using (term)""",

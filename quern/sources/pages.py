@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.dedup import latest_rows
+from ..storage import written
 
 
 def json_folder(spark: SparkSession, root: str) -> DataFrame:
@@ -26,9 +27,11 @@ def json_folder(spark: SparkSession, root: str) -> DataFrame:
 
 
 def _numbered(rows: DataFrame) -> DataFrame:
-    """Dense numbers from 1 in path order without sorting in one task: ranges of paths, a count of each range, a number within."""
-    spread = rows.repartitionByRange("path").withColumn("part", F.spark_partition_id())
-    counts = spread.groupBy("part").agg(F.count("*").alias("n"))
+    """Dense numbers from 1 in path order without sorting in one task: ranges of paths, a count of each range, a number within. The
+    ranges are written with their number before they are counted, so both see the same rows whatever the plan of either."""
+    ranges = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = written(rows.repartitionByRange(ranges, "path").withColumn("part", F.spark_partition_id()), "paths")
+    counts = spread.groupBy("part").agg(F.count("*").alias("n"))  # at most ``ranges`` rows
     before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     number = F.row_number().over(Window.partitionBy("part").orderBy("path"))
     return spread.withColumn("k", number).join(F.broadcast(counts.select("part", before.alias("before"))), "part").withColumn("doc_id", (F.col("before") + F.col("k")).cast("long"))

@@ -12,17 +12,20 @@ from pyspark.sql import DataFrame, SparkSession
 
 _KEPT: deque[DataFrame] = deque()
 #: Frames kept at once; the oldest is given up first, and computed again if it is still read.
-MOST_KEPT = 6
+MOST_KEPT = 32
+_WRITTEN: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder. Only where none is set, as in tests, one of this machine's is used."""
+    """The cluster's shared folder. Only where none is set and the session is local, as in tests, one of this machine's is used."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         if not spark.sparkContext.getCheckpointDir():
             spark.sparkContext.setCheckpointDir(named)
         return named
     if not (own := spark.sparkContext.getCheckpointDir()):
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         own = "file://" + tempfile.mkdtemp(prefix="quern-")
         spark.sparkContext.setCheckpointDir(own)
         atexit.register(_remove, own.removeprefix("file://"))
@@ -41,10 +44,28 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def new_path(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder for a table that is removed when the program ends."""
+    path = f"{shared_dir(spark).rstrip('/')}/quern-{name}-{uuid.uuid4().hex}"
+    if not _WRITTEN:
+        atexit.register(_remove_written)
+    _WRITTEN.append((spark, path))
+    return path
+
+
+def _remove_written() -> None:
+    for spark, path in _WRITTEN:
+        try:
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        except Exception:  # its session has ended
+            pass
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """The frame as a table in the shared folder: compressed, read by column, and there whatever executors are lost."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/quern-{name}-{uuid.uuid4().hex}"
+    path = new_path(spark, name)
     df.write.mode("overwrite").option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

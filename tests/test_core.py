@@ -1,4 +1,5 @@
 import hashlib
+import json
 import random
 from collections import defaultdict
 
@@ -39,6 +40,8 @@ def test_zones():
     page = parse_page("<title>T</title><body><h1>Head</h1><p>foo<b>bar <strong>x</strong></b> <!-- c --><noscript><a href='/n'>n</a></noscript><a href='/t'>link</a>", "http://h/")
     assert page["title"] == "T" and page["head"] == "Head" and page["bold"].split() == ["bar", "x", "x"]
     assert page["body"].split()[:3] == ["Head", "foo", "bar"] and page["links"] == [("http://h/t", "link")]
+    implied = parse_page("<title>T</title><p>x<h2>Head<p>one<p>two", None)
+    assert implied["body"].split() == ["x", "Head", "one", "two"] and implied["title"] == "T" and implied["head"] == "Head"
     assert parse_page("", None)["body"] == "" and parse_page("plain", None)["body"] == "plain"
 
 
@@ -114,3 +117,57 @@ def test_posting_lookup_gives_whole_lists(spark, tmp_path):
     spark.createDataFrame([(0, "a", 2), (0, "a", None), (1, "a", 1), (1, "b", 1)], "block_id int, term string, df long").write.parquet(f"{tmp_path}/lexicon.parquet")
     found = {tuple(r) for r in queries.queries()["posting_lookup"](spark, str(tmp_path)).collect()}
     assert found == {("a", 3, 0, 100, 2, "AA=="), ("a", 3, 0, 7, 1, ""), ("a", 3, 1, 8, 3, "AAUH")}
+
+
+def test_json_folder_keeps_every_page(spark, tmp_path):
+    """Many small files in several folders under adaptive plans: no page is lost, ids are dense in the order of paths."""
+    from quern.sources.pages import json_folder
+
+    for k in range(3000):
+        folder = tmp_path / f"f{k % 7}"
+        folder.mkdir(exist_ok=True)
+        (folder / f"p{k:04}.{'JSON' if k % 5 == 0 else 'json'}").write_text(json.dumps({"url": f"http://h.example/{k}", "content": f"text {k} " * (1 + k % 50)}))
+    (tmp_path / "f0" / "broken.json").write_text("{nothing")
+    (tmp_path / "f0" / "empty.json").write_text("{}")
+    (tmp_path / "f0" / "html.json").write_text(json.dumps({"content": "", "html": "<p>h"}))
+    (tmp_path / "f0" / "other.txt").write_text("{}")
+    rows = sorted(json_folder(spark, str(tmp_path)).collect(), key=lambda r: r.doc_id)
+    assert [r.doc_id for r in rows] == list(range(1, 3004)) and [r.path for r in rows] == sorted(r.path for r in rows)
+    by_name = {r.path.rsplit("/", 1)[1]: r for r in rows}
+    assert by_name["broken.json"].source is None and by_name["empty.json"].source is None
+    assert by_name["html.json"].source == "<p>h" and by_name["html.json"].url == by_name["html.json"].path
+    assert sum(r.source is not None for r in rows) == 3001
+
+
+def test_index_round_trip(spark, tmp_path):
+    """Pages to an index, saved, loaded, searched and looked up; links weigh on the page they lead to."""
+    from quern.plans.build import Index, parse_zones
+
+    html = {
+        1: "<title>Lamp</title><body><h1>Old lamp</h1><p>the <b>keeper</b> lit it <a href='/2'>ferry timetable</a>",
+        2: "<title>Ferry</title><p>boats leave at noon",
+        3: "<title>Ferry</title><p>boats  leave at noon",
+    }
+    pages = spark.createDataFrame([(k, f"f{k}", f"http://h.example/{k}", v) for k, v in html.items()], "doc_id long, path string, url string, source string")
+    build_index(parse_zones(pages), EngineConfig(stem=False), n_paths=5).save(str(tmp_path / "i"))
+    index = Index.load(spark, str(tmp_path / "i"), EngineConfig(stem=False))
+    assert index.stats.first()[:] == (5, 4, 2)
+    assert {r.doc_id: list(r.dup_urls) for r in index.docinfo.collect()} == {1: [], 2: ["http://h.example/3"]}
+    weights = {(r.term, r.doc_id): (r.df, r.tfw, list(r.positions)) for r in index.lookup("lamp", "keeper", "ferry", "timetable", "none").collect()}
+    config = EngineConfig()
+    assert weights[("lamp", 1)] == (1, 1 + config.w_title + config.w_head, [1])
+    assert weights[("keeper", 1)] == (1, 1 + config.w_bold, [3])
+    assert weights[("timetable", 2)] == (2, config.w_anchor, []) and weights[("ferry", 2)][1] == config.w_title + config.w_anchor
+    assert {r.doc_id for r in index.search("noon lamp").collect()} == {1, 2} and index.search("timetable ferry").count() == 0  # words of all documents weigh nothing
+    assert {tuple(r) for r in index.lookup(spark.createDataFrame([("noon",), ("noon",)], "term string")).select("term", "doc_id").collect()} == {("noon", 2)}
+
+
+def test_hot_terms_keep_norms(spark):
+    from quern.operators import postings
+
+    rows = [("the", k, 1) for k in range(400)] + [(f"t{k}", k, 2) for k in range(300)]
+    norms = {r.doc_id: r.norm for r in postings.norms(spark.createDataFrame(rows, "term string, doc_id long, tfw long"), "term", "tfw", 500).collect()}
+    import math
+
+    w = math.log10(500 / 400)
+    assert math.isclose(norms[399], w) and math.isclose(norms[0], math.hypot(w, (1 + math.log10(2)) * math.log10(500)))
