@@ -3,8 +3,8 @@
 Under each of some random permutations the smallest and the largest hash of a set are both kept, so one evaluation
 gives two values, each equal for two sets with the probability of their Jaccard similarity (Ji et al., "Min-Max Hash for
 Jaccard Similarity", ICDM 2013). ``ROWS`` values make a band; sets that agree in a whole band are candidates, and candidates
-are verified on the sets themselves. With 96 bands of 5 values a pair of similarity 0.6 is found with a probability of 0.9996,
-one of 0.55 with 0.994, one of 0.1 becomes a candidate with 0.001.
+are verified on the sets themselves. With 64 bands of 5 values a pair of similarity 0.6 is found with a probability of 0.994,
+one of 0.7 with 0.99999, one of 0.1 becomes a candidate with 0.0006.
 
 For short sets there is an exact way instead: sets that are alike enough share one of their first few elements, rarest first
 (prefix filter), so the sets that do are all the candidates there can be.
@@ -24,12 +24,13 @@ from pyspark.sql import functions as F
 
 from ..storage import written
 
-BANDS, ROWS = 96, 5
+BANDS, ROWS = 64, 5
+#: Sets of a band up to which they are paired by it.
+MOST = 1_000
 
-_MOST = 512
 _RANDOM = np.random.default_rng(20_130_101)
-_A = _RANDOM.integers(1, 2**63, _MOST, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_B = _RANDOM.integers(0, 2**63, _MOST, dtype=np.uint64)
+_A = _RANDOM.integers(1, 2**63, 4096, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_B = _RANDOM.integers(0, 2**63, 4096, dtype=np.uint64)
 
 
 def _spread(x: np.ndarray) -> np.ndarray:
@@ -40,7 +41,7 @@ def _spread(x: np.ndarray) -> np.ndarray:
 
 
 def band_keys(elements: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
-    """``bands`` keys of a non-empty set of 32-bit element hashes; bands * rows is even and at most 1024."""
+    """``bands`` keys of a non-empty set of 32-bit element hashes; bands * rows is even and at most 8192."""
     n = bands * rows // 2
     x = _spread(elements.astype(np.uint64))
     least = np.full(n, np.iinfo(np.uint64).max, np.uint64)
@@ -62,8 +63,10 @@ def representatives(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
     return sets.join(members.where("id = rep").select("id"), "id", "left_semi"), members
 
 
-def candidates(sets: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(id_a, id_b), id_a < id_b: pairs that agree in a band, each once."""
+def candidates(sets: DataFrame, threshold: float, bands: int = BANDS, rows: int = ROWS, most: int = MOST) -> DataFrame:
+    """(id_a, id_b), id_a < id_b: pairs that agree in a band, each once. Of bands that more than ``most`` sets have, which say little
+    and would make as many pairs as the square of that, the sets are compared by their rarest elements instead, which finds all
+    that are alike."""
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -75,27 +78,33 @@ def candidates(sets: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFra
             if keys:
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, bands)), pa.array(np.concatenate(keys))], names=["id", "key"])
 
-    banded = sets.where("size(elements) > 0").select("id", "elements").mapInArrow(keyed, "id long, key long")
+    banded = sets.where("size(elements) > 0").select("id", "elements").mapInArrow(keyed, "id long, key long").repartition("key")
+    shared = banded.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     other = banded.withColumnRenamed("id", "id_b")
-    return banded.withColumnRenamed("id", "id_a").join(other, "key").where("id_a < id_b").select("id_a", "id_b").distinct()
+    few = banded.withColumnRenamed("id", "id_a").join(shared.where(F.col("n") <= most).select("key"), "key", "left_semi").join(other, "key").where("id_a < id_b").select("id_a", "id_b")
+    crowded = banded.join(shared.where(F.col("n") > most).select("key"), "key", "left_semi").select("id").distinct()
+    return few.unionByName(sharing(sets.join(crowded, "id", "left_semi"), threshold, now=False)).distinct()
 
 
-def sharing(sets: DataFrame, threshold: float) -> DataFrame:
+def sharing(sets: DataFrame, threshold: float, now: bool = True) -> DataFrame:
     """(id_a, id_b), id_a < id_b: pairs that share one of their rarest elements, each once; none of at least this similarity is left out.
-    Of n elements at least threshold * n are common then, so the first n - that + 1 in any common order hold one of them."""
+    Of n elements at least threshold * n are common then, so the first n - that + 1 in any common order hold one of them. ``now``
+    writes those elements to the shared folder first."""
     each = sets.select("id", F.size("elements").alias("n"), F.explode("elements").alias("e"))
     owners = each.groupBy("e").agg(F.count("*").alias("owners"))
     turn = F.row_number().over(Window.partitionBy("id").orderBy("owners", "e"))
     first = each.join(owners, "e").withColumn("turn", turn).where(F.col("turn") <= F.col("n") - F.ceil(threshold * F.col("n") - 1e-9) + 1).where("owners > 1")
-    first = written(first.select("id", "n", "e"), "prefixes")
+    first = first.select("id", "n", "e")
+    if now:
+        first = written(first, "prefixes")
     a, b = (first.select(F.col("id").alias(f"id_{x}"), F.col("n").alias(f"n_{x}"), "e") for x in "ab")
     sized = F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b") - 1e-9
     return a.join(b, "e").where("id_a < id_b").where(sized).select("id_a", "id_b").distinct()
 
 
-def similar_pairs(sets: DataFrame, threshold: float, bands: int = BANDS, rows: int = ROWS, exact: bool = False) -> DataFrame:
+def similar_pairs(sets: DataFrame, threshold: float, bands: int = BANDS, rows: int = ROWS, exact: bool = False, most: int = MOST) -> DataFrame:
     """(id_a, id_b, similarity) of the candidate pairs whose sets have at least this Jaccard similarity."""
-    pairs = written(sharing(sets, threshold) if exact else candidates(sets, bands, rows), "candidates")
+    pairs = written(sharing(sets, threshold) if exact else candidates(sets, threshold, bands, rows, most), "candidates")
     needed = pairs.select(F.explode(F.array("id_a", "id_b")).alias("id")).distinct()
     elements = sets.join(needed, "id", "left_semi").select("id", "elements")
     both = (
@@ -107,12 +116,12 @@ def similar_pairs(sets: DataFrame, threshold: float, bands: int = BANDS, rows: i
     return both.where(F.col("common") >= threshold * F.col("all") - 1e-9).select("id_a", "id_b", (F.col("common") / F.col("all")).alias("similarity"))
 
 
-def near_duplicates(sets: DataFrame, threshold: float, bands: int = BANDS, rows: int = ROWS, exact: bool = False) -> tuple[DataFrame, DataFrame]:
+def near_duplicates(sets: DataFrame, threshold: float, bands: int = BANDS, rows: int = ROWS, exact: bool = False, most: int = MOST) -> tuple[DataFrame, DataFrame]:
     """(pairs of representatives, members): see ``similar_pairs`` and ``representatives``. ``exact`` is for short sets. Rows with a null id or without
     elements have no near duplicate. ``sets`` is read several times, so it should be a table; members and candidates are written to the
     shared folder, so that each is computed once and no plan holds the others."""
     reps, members = representatives(sets)
-    return similar_pairs(reps, threshold, bands, rows, exact), members
+    return similar_pairs(reps, threshold, bands, rows, exact, most), members
 
 
 def expand(pairs: DataFrame, members: DataFrame) -> DataFrame:
