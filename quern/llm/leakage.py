@@ -1,17 +1,19 @@
 """Evaluation texts leaking into training text: latent semantic retrieval of passages, then an exact check.
 
 1. Passages are ``WINDOW`` successive words, every ``STRIDE`` words, so any run of ``RUN`` words lies whole in one.
-2. TF-IDF over the words of the evaluation texts, the only ones a hit can share; document frequencies are counted over all
-   passages of the corpus, and words in more than ``MAX_DF`` of them say nothing and are left out.
+2. TF-IDF: document frequencies of all words are counted over all passages of the corpus, once, and written; common words weigh
+   little and none is left out.
 3. A randomised SVD of the evaluation passages' TF-IDF matrix (range finder with power iterations; its products with the
-   matrix are computed where the passages lie and summed) gives the latent space.
-4. Every corpus passage is projected and compared by cosine with all evaluation passages: the evaluation texts are a stated
-   query set, broadcast in blocks of ``BLOCK`` items, so the memory needed doesn't grow with either side.
+   matrix are computed where the passages lie and summed) gives the latent space, of a rank of a ``SHARE``th of the passages.
+4. Every corpus passage meets the evaluation passages through lists of the words they have; those that share enough weight are
+   compared by cosine in the latent space. A run of common words may weigh too little for that, so pairs of passages with
+   ``RUN`` words in common, however common, are checked as well: no shared run can be missed. The evaluation texts are a stated query set: they come in blocks of at most
+   ``BLOCK`` items and ``BLOCK_WORDS`` words, of which the driver holds one at a time, so what is broadcast has a bound.
 5. Pairs above ``COSINE`` are checked: the longest run of common successive words, and the longest common subsequence,
-   which tells paraphrases.
+   which tells paraphrases. The items have no answers to check apart from their text.
 
 Words are runs of letters and digits, case folded. Null and empty texts have no passage; texts shorter than ``RUN`` words
-can't be hit. Passages without a word of the vocabulary have a zero vector and no neighbour.
+can't be hit. Of a repeated item_id the rows count as one text each.
 """
 
 from __future__ import annotations
@@ -27,15 +29,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import written
+
 RUN = 13
 WINDOW, STRIDE = 26, 13
-MAX_DF = 0.002
-#: A word in so few passages is kept however small the corpus.
-KEEP_DF = 5
-COSINE = 0.2
-RANK = 768
+COSINE = 0.3
+SHARE, LEAST_RANK = 3, 64
 POWER = 2
-BLOCK = 1_000
+BLOCK, BLOCK_WORDS = 1_000, 200_000
 
 _WORD = re.compile(r"[^\W_]+")
 
@@ -55,24 +56,41 @@ def windows(n: int) -> list[int]:
     return list(range(0, n - WINDOW + STRIDE, STRIDE))
 
 
-def _passage_df(corpus: DataFrame, vocabulary: set[str]) -> tuple[dict[str, int], int]:
-    """How many corpus passages hold each word of the vocabulary, and how many passages there are."""
-    shared = corpus.sparkSession.sparkContext.broadcast(vocabulary)
+def passage_df(corpus: DataFrame) -> DataFrame:
+    """(w, n): how many passages of the corpus hold each word, and under "" how many passages there are."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, total, seen = shared.value, 0, Counter()
+        total, seen = 0, Counter()
+        handed = lambda: pa.RecordBatch.from_pydict({"w": ["", *seen], "n": pa.array([total, *seen.values()], pa.int64())})
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 ws = words(text)
                 for at in windows(len(ws)):
                     total += 1
-                    seen.update(known.intersection(ws[at : at + WINDOW]))
-        yield pa.RecordBatch.from_pydict({"w": ["", *seen], "n": pa.array([total, *seen.values()], pa.int64())})
-
-    # at most one row for each word of the evaluation texts reaches the driver
-    sums = corpus.select("text").mapInArrow(count, "w string, n long").groupBy("w").agg(F.sum("n").alias("n")).collect()
-    counts = {r.w: r.n for r in sums}
-    return counts, counts.pop("", 0)
+                    seen.update(set(ws[at : at + WINDOW]))
+            if len(seen) > 200_000:
+                yield handed()
+                total = 0
+                seen.clear()
+        yield handed()
+
+    return corpus.select("text").mapInArrow(count, "w string, n long").groupBy("w").agg(F.sum("n").alias("n"))
+
+
+def blocks_of(items: DataFrame) -> Iterator[dict[int, list[str]]]:
+    """The items' words, in blocks that fit a broadcast; an item of more words than a block is a block by itself."""
+    block: dict[int, list[str]] = {}
+    size = 0
+    for r in items.where("item_id is not null and text is not null").select("item_id", "text").orderBy("item_id", "text").toLocalIterator():
+        if not (ws := words(r.text)):
+            continue
+        if block and (len(block) >= BLOCK or size + len(ws) > BLOCK_WORDS):
+            yield block
+            block, size = {}, 0
+        block[r.item_id] = block.get(r.item_id, []) + ws
+        size += len(ws)
+    if block:
+        yield block
 
 
 def randomised_svd(rows: list[dict[int, float]], width: int, rank: int, spark=None, seed: int = 7) -> np.ndarray:
@@ -91,7 +109,7 @@ def randomised_svd(rows: list[dict[int, float]], width: int, rank: int, spark=No
         return out
 
     def gram(m: np.ndarray) -> np.ndarray:
-        if spark is None or len(rows) < 64:
+        if spark is None:
             return sum(product(p, m) for p in parts)
         shared = spark.sparkContext.broadcast(m)
         schema = "part binary"
@@ -150,17 +168,23 @@ def find_leaks(corpus: DataFrame, items: DataFrame) -> DataFrame:
     of item and passage. Repeated ids count once; items and documents with null ids are left out."""
     spark = corpus.sparkSession
     rows = corpus.where("doc_id is not null and text is not null").select(F.col("text").cast("string").alias("text"), F.col("doc_id").cast("long").alias("doc_id"))
-    asked = {r.item_id: words(r.text) for r in items.where("item_id is not null").select("item_id", "text").collect()}  # the query set
-    asked = {k: ws for k, ws in asked.items() if ws}
     schema = "doc_id long, item_id long, cosine double, run int, subsequence double"
-    df, total = _passage_df(rows, {w for ws in asked.values() for w in ws}) if asked else ({}, 0)
-    found = spark.createDataFrame([], schema)
-    most = max(KEEP_DF, MAX_DF * total)
-    idf = {w: math.log((1 + total) / (1 + df.get(w, 0))) for ws in asked.values() for w in ws if df.get(w, 0) <= most}
-    ids = sorted(asked)
-    for at in range(0, len(ids), BLOCK):
-        found = found.unionByName(_block(rows, {k: asked[k] for k in ids[at : at + BLOCK]}, idf, schema))
-    return found.groupBy("doc_id", "item_id").agg(F.max("cosine").alias("cosine"), F.max("run").alias("run"), F.max("subsequence").alias("subsequence"))
+    df = total = None
+    found = []
+    for asked in blocks_of(items):
+        if df is None:
+            df = written(passage_df(rows), "passage-df")
+            total = df.where("w = ''").agg(F.sum("n")).first()[0] or 0
+        if found:  # one plan a block
+            found[-1] = written(found[-1], "leaks")
+        known = spark.createDataFrame([(w,) for w in {w for ws in asked.values() for w in ws}], "w string")
+        held = {r.w: r.n for r in df.join(known, "w").collect()}  # of the words of one block
+        idf = {r: math.log((1 + total) / (1 + held.get(r, 0))) + 1e-3 for ws in asked.values() for r in ws}
+        found.append(_block(rows, asked, idf, schema))
+    out = spark.createDataFrame([], schema)
+    for part in found:
+        out = out.unionByName(part)
+    return out.groupBy("doc_id", "item_id").agg(F.max("cosine").alias("cosine"), F.max("run").alias("run"), F.max("subsequence").alias("subsequence"))
 
 
 def _vector(ws: list[str], ids: dict[str, int], idf: dict[str, float]) -> dict[int, float]:
@@ -170,25 +194,37 @@ def _vector(ws: list[str], ids: dict[str, int], idf: dict[str, float]) -> dict[i
 def _block(rows: DataFrame, asked: dict[int, list[str]], idf: dict[str, float], schema: str) -> DataFrame:
     spark = rows.sparkSession
     ids = {w: k for k, w in enumerate(sorted({w for ws in asked.values() for w in ws if w in idf}))}
-    passages, owner = [], []
+    passages, tallies, owner = [], [], []
     for item, ws in asked.items():
         for at in windows(len(ws)):
             if v := _vector(ws[at : at + WINDOW], ids, idf):
                 passages.append(v)
+                tallies.append({ids[w]: n for w, n in Counter(ws[at : at + WINDOW]).items()})
                 owner.append(item)
     if not passages:
         return spark.createDataFrame([], schema)
-    space = randomised_svd(passages, len(ids), RANK, spark)
+    space = randomised_svd(passages, len(ids), max(LEAST_RANK, len(passages) // SHARE), spark)
 
     def project(v: dict[int, float]) -> np.ndarray:
         return np.fromiter(v.values(), np.float32, len(v)) @ space[np.fromiter(v, int, len(v))]
 
     latent = np.array([project(v) for v in passages])
     latent /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-9)
-    shared = spark.sparkContext.broadcast((ids, {w: idf[w] for w in ids}, space, latent, np.array(owner), asked))
+    # which passages have a word, with what weight
+    lists: list[list[int]] = [[] for _ in ids]
+    weights: list[list[float]] = [[] for _ in ids]
+    times: list[list[int]] = [[] for _ in ids]
+    for j, (v, counts) in enumerate(zip(passages, tallies)):
+        length = math.sqrt(sum(x * x for x in v.values()))
+        for k, x in v.items():
+            lists[k].append(j)
+            weights[k].append(x / length)
+            times[k].append(counts[k])
+    inverted = [(np.array(a, np.int32), np.array(b, np.float32), np.array(c, np.int32)) for a, b, c in zip(lists, weights, times)]
+    shared = spark.sparkContext.broadcast((ids, {w: idf[w] for w in ids}, space, latent, np.array(owner), asked, inverted))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, idf, space, latent, owner, asked = shared.value
+        ids, idf, space, latent, owner, asked, inverted = shared.value
         kinds = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("cosine", pa.float64()), ("run", pa.int32()), ("subsequence", pa.float64())])
         for batch in batches:
             out: list[list] = [[] for _ in kinds]
@@ -204,13 +240,23 @@ def _block(rows: DataFrame, asked: dict[int, list[str]], idf: dict[str, float],
                         continue
                     k = np.fromiter(v, int, len(v))
                     values = np.fromiter(v.values(), np.float32, len(v))
+                    length = max(1e-9, float(np.linalg.norm(values)))
+                    held = [inverted[i] for i in k]
+                    who = np.concatenate([a for a, _, _ in held])
+                    like = np.bincount(who, np.concatenate([x * b for x, (_, b, _) in zip(values, held)]))
+                    tally = Counter(part)
+                    common = np.bincount(who, np.concatenate([np.minimum(c, tally[w]) for w, (_, _, c) in zip((w for w in tally if w in ids), held)]))
+                    near = np.nonzero((like >= COSINE * length) | (common >= RUN))[0]
+                    if not len(near):
+                        continue
                     z = values @ space[k]
                     # against the whole vector's length: what the latent space doesn't hold counts as unlike
-                    cosines = latent @ z / max(1e-9, float(np.linalg.norm(values)))
-                    for j in np.nonzero(cosines >= COSINE)[0]:
+                    cosines = latent[near] @ z / length
+                    for at_near in np.nonzero((cosines >= COSINE) | (common[near] >= RUN))[0]:
+                        j = near[at_near]
                         item = int(owner[j])
                         b = best.setdefault(item, [0.0, 0, 0.0])
-                        b[0] = max(b[0], float(cosines[j]))
+                        b[0] = max(b[0], float(cosines[at_near]))
                         # the passage with a run's length on either side, so that the run is measured whole
                         around = ws[max(0, at - RUN) : at + WINDOW + RUN]
                         b[1] = max(b[1], longest_run(around, asked[item]))

@@ -231,3 +231,15 @@ def test_important_nodes_are_told_by_entropy(spark):
     places = sitetree.judge_pages(spark.createDataFrame(rows, PAGES)).where("not residual").collect()
     important = {r.value for r in sitetree._evidence(spark.createDataFrame(rows, PAGES).transform(lambda d: sitetree.page_rows(d).mapInArrow(sitetree._parse, sitetree._PARSED))).select(F.explode("evidence").alias("e")).select("e.*").where("idx between 1000000 and 1999999").collect()}
     assert important == {0, 100} and len(places) == 10
+
+
+def test_leaks_of_common_words_in_blocks(spark, monkeypatch):
+    """A run of thirteen words that are in every document is found, also when the items come in several blocks."""
+    monkeypatch.setattr(leakage, "BLOCK", 3)
+    rng = random.Random(4)
+    common = [f"c{k}" for k in range(13)]
+    docs = [(k, " ".join([*rng.sample(common, 13), *(f"x{rng.randrange(900)}" for _ in range(30))])) for k in range(50)]
+    items = [(k, " ".join(f"y{k}z{j}" for j in range(20)) + " " + " ".join(rng.sample(common, 13)) + " tail") for k in range(8)]
+    docs[5] = (5, " ".join(f"q{k}" for k in range(14)) + " ahead " + " ".join(items[6][1].split()[20:33]) + " behind " + docs[5][1])
+    found = leakage.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r.doc_id, r.item_id) for r in found.where("run >= 13").collect()} == {(5, 6)}
