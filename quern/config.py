@@ -21,5 +21,6 @@ class EngineConfig:
     phrase_boost: float = 0.15
     top_k: int = 10
     min_results: int = 50
-    phrase_docs: int = 5000
-    max_candidates: int = 5000
+    # documents whose phrases are looked at, and candidates that are ranked, of a query; None for all
+    phrase_docs: int | None = 5000
+    max_candidates: int | None = 5000

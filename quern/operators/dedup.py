@@ -16,10 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import band, hamming64
-from ..storage import checkpoint, written
-
-MOST_ROUNDS = 200
-
+from ..storage import written
 
 def exact_groups(docs: DataFrame) -> DataFrame:
     """(doc_id, sha, first_id) of (doc_id, sha): the smallest id with the same fingerprint."""
@@ -57,18 +54,16 @@ def near_edges(fps: DataFrame, max_hamming: int = 5) -> DataFrame:
 
 
 def duplicates_of_fixpoint(edges: DataFrame) -> DataFrame:
-    """(id): the vertices that aren't in the first maximal independent set of edges (a, b), a < b."""
-    open_edges = checkpoint(edges.select("a", "b"))
+    """(id): the vertices that aren't in the first maximal independent set of edges (a, b), a < b. Each round settles the smallest
+    open vertex at least, so it ends; each writes what is left as a table."""
+    open_edges = edges.select("a", "b")
     found = None
-    for _ in range(MOST_ROUNDS):
-        if open_edges.isEmpty():
-            break
+    while not open_edges.isEmpty():
         first = open_edges.select("a").distinct().join(open_edges.select(F.col("b").alias("a")), "a", "left_anti")
-        hit = checkpoint(open_edges.join(first, "a").select(F.col("b").alias("id")).distinct())
+        hit = written(open_edges.join(first, "a").select(F.col("b").alias("id")).distinct(), "hit")
         found = hit if found is None else found.unionByName(hit)
-        open_edges = checkpoint(open_edges.join(hit.withColumnRenamed("id", "a"), "a", "left_anti").join(hit.withColumnRenamed("id", "b"), "b", "left_anti"))
-    else:
-        raise RuntimeError("the fixpoint was not reached")
+        rest = open_edges.join(hit.withColumnRenamed("id", "a"), "a", "left_anti").join(hit.withColumnRenamed("id", "b"), "b", "left_anti")
+        open_edges = written(rest, "open")
     return found if found is not None else edges.select(F.col("b").alias("id")).limit(0)
 
 

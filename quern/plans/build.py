@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
+from functools import lru_cache
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType
 
 from ..config import EngineConfig
 from ..functions.hashing import simhash64
@@ -42,18 +44,16 @@ def parse_zones(pages: DataFrame) -> DataFrame:
 
 
 def stem_terms(rows: DataFrame, column: str) -> DataFrame:
-    """Stems an array of terms. Each different term is stemmed once and joined back, so the work follows the vocabulary."""
+    """Stems an array of terms where it lies; each worker stems a word once, so no common word is moved or met again."""
     from ..functions.porter import stem
 
-    @F.pandas_udf(StringType())
-    def stemmed(words):
-        return words.map(stem)
+    @F.pandas_udf(ArrayType(StringType()))
+    def stemmed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        known = lru_cache(maxsize=500_000)(stem)
+        for lists in batches:
+            yield lists.map(lambda ws: [known(w) for w in ws], na_action="ignore")
 
-    rows = written(rows.withColumn("_row", F.monotonically_increasing_id()), "rows")
-    each = rows.select("_row", F.posexplode(column).alias("pos", "term"))
-    vocabulary = each.select("term").distinct().withColumn("stem", stemmed("term"))
-    back = each.join(vocabulary, "term").groupBy("_row").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "stem"))), lambda x: x.stem).alias("_stems"))
-    return rows.join(back, "_row", "left").withColumn(column, F.coalesce("_stems", F.array().cast("array<string>"))).drop("_row", "_stems")
+    return rows.withColumn(column, F.coalesce(stemmed(column), F.array().cast("array<string>")))
 
 
 def texts_as_pages(documents: DataFrame) -> DataFrame:

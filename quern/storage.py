@@ -38,12 +38,6 @@ def _remove(path: str) -> None:
     shutil.rmtree(path, ignore_errors=True)
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cuts the lineage in the shared folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def new_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder for a table that is removed when the program ends."""
     path = f"{shared_dir(spark).rstrip('/')}/quern-{name}-{uuid.uuid4().hex}"

@@ -171,3 +171,23 @@ def test_hot_terms_keep_norms(spark):
 
     w = math.log10(500 / 400)
     assert math.isclose(norms[399], w) and math.isclose(norms[0], math.hypot(w, (1 + math.log10(2)) * math.log10(500)))
+
+
+def test_stemmed_search_is_search_of_stems(spark):
+    rng = random.Random(12)
+    vocabulary = "relational relations hopping hopped falls falling ponies pony happily happy boats boating keeper keepers".split()
+    texts = {k: " ".join(rng.choice(vocabulary) for _ in range(12)) for k in range(1, 30)}
+    frame = lambda rows: spark.createDataFrame(rows, "doc_id long, text string, url string")
+    stemmed = lambda text: " ".join(stem(w) for w in text.split())
+    one = build_index(texts_as_pages(frame([(k, t, f"u{k}") for k, t in texts.items()])), EngineConfig())
+    two = build_index(texts_as_pages(frame([(k, stemmed(t), f"u{k}") for k, t in texts.items()])), EngineConfig(stem=False))
+    asked = ["hopping ponies", "relation", "happy boats falling"]
+    rows = lambda found: sorted(map(tuple, found.collect()))
+    got = rows(one.search(asked))
+    assert got and got == rows(two.search([stemmed(q) for q in asked]))
+
+
+def test_no_limits(spark):
+    docs = spark.createDataFrame([(k, f"apple banana w{k}" if k % 2 else f"cherry w{k}", f"u{k}") for k in range(40)], "doc_id long, text string, url string")
+    index = build_index(texts_as_pages(docs), EngineConfig(stem=False, phrase_docs=None, max_candidates=None, max_hamming=0))
+    assert {r.candidates for r in index.search("apple banana").collect()} == {20}
