@@ -20,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..storage import keep
@@ -77,7 +77,7 @@ class Model:
         """Log-likelihoods of a word, of the best language at most 9 over any: no single word decides."""
         found = self.cache.get(w)
         if found is None:
-            s = f"^{w[:24]}$"
+            s = f"^{w}$"
             chars = self.floor * 0
             for i in range(len(s) - 2):
                 g = self.grams.get(s[i : i + 3])
@@ -87,9 +87,10 @@ class Model:
             whole = self.words.get(w)
             found = np.logaddexp(chars + math.log(0.3), np.log(np.maximum(whole, 1e-30)) + math.log(0.7)) if whole is not None else chars + math.log(0.3)
             found = np.maximum(found - found.max(), -9.0)
-            if len(self.cache) > 200_000:
-                self.cache.clear()
-            self.cache[w] = found
+            if len(w) < 64:  # what is remembered has a bound
+                if len(self.cache) > 200_000:
+                    self.cache.clear()
+                self.cache[w] = found
         return found
 
     def line(self, text: str) -> tuple[int, np.ndarray]:
@@ -194,7 +195,16 @@ def assign_languages(documents: DataFrame, codes: list[tuple[str, str]], model:
             yield pa.RecordBatch.from_arrays([pa.array(c, kind.type) for c, kind in zip(rows, kinds)], schema=kinds)
 
     rows = documents.where("doc_id is not null and text <> ''").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), label_code(F.col("lang"), codes).alias("code"))
-    return rows.mapInArrow(label, "doc_id long, line_no int, lang string, confidence double, share double, label string").dropDuplicates(["doc_id", "line_no"])
+    return _largest(rows).mapInArrow(label, "doc_id long, line_no int, lang string, confidence double, share double, label string")
+
+
+def _largest(rows: DataFrame) -> DataFrame:
+    """One row of each document: the one with the largest text, of equally large ones the smallest, then the smallest label. Only if
+    documents are repeated at all, which their ids tell, texts are moved."""
+    if rows.groupBy("doc_id").count().where("count > 1").isEmpty():
+        return rows
+    by = Window.partitionBy("doc_id").orderBy(F.length("text").desc(), F.col("text"), F.col("code").asc_nulls_last())
+    return rows.withColumn("turn", F.row_number().over(by)).where("turn = 1").drop("turn")
 
 
 def document_rows(model: Model, text: str) -> list[tuple[int, str, float, float]]:

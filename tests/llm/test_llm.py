@@ -243,3 +243,10 @@ def test_leaks_of_common_words_in_blocks(spark, monkeypatch):
     docs[5] = (5, " ".join(f"q{k}" for k in range(14)) + " ahead " + " ".join(items[6][1].split()[20:33]) + " behind " + docs[5][1])
     found = leakage.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
     assert {(r.doc_id, r.item_id) for r in found.where("run >= 13").collect()} == {(5, 6)}
+
+
+def test_one_version_of_a_repeated_document_counts(spark, spoken):
+    rows = [(k, spoken[x][k % 3] + "\n" + spoken[x][(k + 1) % 3], x) for k, x in enumerate(["en", "de"] * 10)]
+    rows += [(100, "\n".join(spoken["de"] * 2), "de"), (100, spoken["en"][0], "de"), (100, "\n".join(spoken["de"] * 2), "de"), (101, "Donaudampf" * 5_000, "en")]
+    found = langid.assign_languages(spark.createDataFrame(rows, "doc_id long, text string, lang string"), [("en", "English"), ("de", "German")]).collect()
+    assert [(r.line_no, r.lang) for r in found if r.doc_id == 100] == [(0, "de")] and len([r for r in found if r.doc_id == 101]) == 1
