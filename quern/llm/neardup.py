@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..storage import written
+from ..storage import keep, written
 
 BANDS, ROWS = 64, 5
 #: Sets of a band up to which they are paired by it.
@@ -78,10 +78,13 @@ def candidates(sets: DataFrame, threshold: float, bands: int = BANDS, rows: int
             if keys:
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, bands)), pa.array(np.concatenate(keys))], names=["id", "key"])
 
-    banded = sets.where("size(elements) > 0").select("id", "elements").mapInArrow(keyed, "id long, key long").repartition("key")
+    banded = sets.where("size(elements) > 0").select("id", "elements").mapInArrow(keyed, "id long, key long")
+    banded = keep(banded.repartition(int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions")), "key"))  # met by key four times, moved once
     shared = banded.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     other = banded.withColumnRenamed("id", "id_b")
     few = banded.withColumnRenamed("id", "id_a").join(shared.where(F.col("n") <= most).select("key"), "key", "left_semi").join(other, "key").where("id_a < id_b").select("id_a", "id_b")
+    if shared.where(F.col("n") > most).isEmpty():
+        return few.distinct()
     crowded = banded.join(shared.where(F.col("n") > most).select("key"), "key", "left_semi").select("id").distinct()
     return few.unionByName(sharing(sets.join(crowded, "id", "left_semi"), threshold, now=False)).distinct()
 

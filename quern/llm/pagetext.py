@@ -18,17 +18,17 @@ from typing import NamedTuple
 # What is never shown; then all other tags.
 _HIDDEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript)\b[^>]*>.*?(?:</\1\s*>|\Z)", re.S | re.I)
 _TAG = re.compile(r"</?[a-zA-Z][^>]*>|<[!?][^>]*>")
-# Marks put in place of tags: a link's start and end; a block's end, and the start of an item, heading or title.
+# Marks put in place of tags, each behind what a text without such a tag lacks: a link's start and end; a block's end, and the start of an item, heading or title.
 _LINK, _LINKED, _BREAK, _ITEM, _HEAD, _TITLE = "\x01\x02\x03\x04\x05\x06"
 _STRAY = re.compile("[\x01-\x06]")
 _INLINE = re.compile(r"</?(?:b|i|u|em|strong|span|small|code|su[bp]|abbr|cite|q|kbd|mark|tt|s)(?:\s[^>]*)?>", re.I)
 _MARKS = (
-    (re.compile(r"<a(?:\s[^>]*)?>", re.I), _LINK),
-    (re.compile(r"</a\s*>", re.I), _LINKED),
-    (re.compile(r"<li(?:\s[^>]*)?>", re.I), _ITEM),
-    (re.compile(r"<(?:h[1-6]|font)(?:\s[^>]*)?>", re.I), _HEAD),
-    (re.compile(r"<title(?:\s[^>]*)?>", re.I), _TITLE),
-    (re.compile(r"</?(?!/?(?:div|nav|main|article|aside|footer|header|section|td|th|table|form|body)[\s>])[a-zA-Z][^>]*>|<[!?][^>]*>", re.I), _BREAK),
+    ("<a", re.compile(r"<a(?:\s[^>]*)?>", re.I), _LINK),
+    ("</a", re.compile(r"</a\s*>", re.I), _LINKED),
+    ("<li", re.compile(r"<li(?:\s[^>]*)?>", re.I), _ITEM),
+    ("<", re.compile(r"<(?:h[1-6]|font)(?:\s[^>]*)?>", re.I), _HEAD),
+    ("<title", re.compile(r"<title(?:\s[^>]*)?>", re.I), _TITLE),
+    ("<", re.compile(r"</?(?!/?(?:div|nav|main|article|aside|footer|header|section|td|th|table|form|body)[\s>])[a-zA-Z][^>]*>|<[!?][^>]*>", re.I), _BREAK),
 )
 _BRANCH = re.compile(r"<(/?)(div|nav|main|article|aside|footer|header|section|td|th|table|form|body)\b([^>]*)>", re.I)
 _CUT = re.compile("([\x03-\x06])")
@@ -73,8 +73,10 @@ def _markup_blocks(source: str) -> list[Block]:
     s = _HIDDEN.sub(lambda m: "\n" * m.group().count("\n"), s)
     s = _INLINE.sub("", s)
     split = _SPLIT_TAG.search(s) is not None
-    for pattern, mark in _MARKS:
-        s = pattern.sub(_keeping_lines(mark) if split else mark, s)
+    small = s.lower()
+    for sign, pattern, mark in _MARKS:
+        if sign in small:
+            s = pattern.sub(_keeping_lines(mark) if split else mark, s)
     out: list[Block] = []
     stack: list[tuple[str, int, str]] = []  # name, branch, path
     branch, path, opened, line, tag = 0, "", 0, 1, "p"

@@ -21,7 +21,8 @@ _WORD = re.compile(r"[^\W_]+")
 _STOP = re.compile(r"[.!?…。][\"'»”)\]]*$")
 # What isn't a word of a language: addresses, file names, identifiers, quoted names.
 _CODE = re.compile(r"""(?<!\S)(?:[^\s/\\@=_]*+[/\\@=_]\S*+|[^\s.]*+\.\w\S*+|["'‘“«][\w.]++["'’”»]\S*+)""")
-_CODED = re.compile(r"""[/\\@=_]|\w\.\w|(?<!\w)["'‘“«]\w""")
+_CODED = re.compile(r"""[/\\@=_"'‘“«]""")
+_DOTTED = re.compile(r"\.\w")
 _CRUMB = re.compile(r"\S\s[>›»|]\s\S")
 _LABEL = re.compile(r"^([^:]{2,40}?)\s?: ")
 
@@ -67,6 +68,11 @@ def host_of(url: str | None) -> str:
     """Lower-case host, "" if there is none."""
     if not url:
         return ""
+    place = url.strip().partition("://")[2]
+    if "[" not in place:
+        for mark in "/?#":
+            place = place.partition(mark)[0]
+        return place.rpartition("@")[2].partition(":")[0].lower()
     try:
         return (urlsplit(url.strip()).hostname or "").lower()
     except ValueError:
@@ -94,9 +100,6 @@ def _mask(ws: list[str], names: set[str]) -> str:
     return " ".join(out)
 
 
-_DIGIT = re.compile(r"\d")
-
-
 def _heap(low: list[str], function: int) -> bool:
     """Whether words are a heap rather than sentences: hardly any function word, or one pair of words again and again."""
     n = len(low)
@@ -147,8 +150,8 @@ def _traits(text: str) -> Traits:
     if label and len(words := _WORD.findall(label.group(1).lower())) <= 3:
         masked, mark = words, ":"
     else:
-        masked, mark = _WORD.findall(_CODE.sub(" 0 ", text.lower())) if _CODED.search(text) else low, ""
-    if _DIGIT.search(text):
+        masked, mark = _WORD.findall(_CODE.sub(" 0 ", text.lower())) if _CODED.search(text) or _DOTTED.search(text) else low, ""
+    if not "".join(masked).isalpha():
         masked = [w if w.isalpha() else "0" for w in masked]
     return Traits(low, masked, mark, stop, residue, heap, speech, hash64(" ".join(masked) + mark))
 
@@ -214,11 +217,12 @@ def heap_words(page: list[Facts]) -> list[str]:
     return list(dict.fromkeys(w for f in page if f.kind & HEAP and f.block.branch for w in _WORD.findall(f.block.text.lower()) if w.isalpha()))
 
 
-def elements(page: list[Facts]) -> dict[int, str]:
-    """The node of the site tree that each branch is merged into: its style path, and for cells that lay out a page which of how
-    many they are."""
-    path = {f.block.branch: f.block.path for f in page if f.block.branch}
-    cells = Counter(p for p in path.values() if p == "td" or p.endswith("/td"))
+def elements(path: dict[int, str]) -> dict[int, str]:
+    """The node of the site tree that each branch, by its style path, is merged into: that path, and for cells that lay out a page
+    which of how many they are."""
+    cells = Counter(p for p in path.values() if p.endswith("td"))
+    if not cells:
+        return path
     seen: Counter[str] = Counter()
     out = {}
     for k, p in path.items():
@@ -236,14 +240,16 @@ def signatures(page: list[Facts]) -> list[tuple[int, int, int, int, int]]:
     element is the signature of the branch's node, 0 without markup."""
     prose: dict[int, int] = {}
     words: dict[int, int] = {}
+    path: dict[int, str] = {}
     total = 0
     for f in page:
         if k := f.block.branch:
+            path[k] = f.block.path
             own = f.words if f.kind & PROSE else 0
             prose[k] = prose.get(k, 0) + own
             words[k] = words.get(k, 0) + f.words
             total += own
-    node = {k: hash64("path " + p) if p and p != "text" else 0 for k, p in elements(page).items()}
+    node = {k: hash64("path " + p) if p and p != "text" else 0 for k, p in elements(path).items()}
     out: list[tuple[int, int, int, int, int]] = []
     for i, f in enumerate(page):
         b = f.block
