@@ -30,23 +30,28 @@ HOT = 0.01
 _LEDGER = "key string, copies long, first_id long, bucket int"
 
 
-def canonical_url(url: Column) -> Column:
-    """The address apart from outer blanks, case of scheme and host, default port, fragment and order of parameters.
+def with_canonical_url(rows: DataFrame, url: str, name: str) -> DataFrame:
+    """Adds the address apart from outer blanks, case of scheme and host, default port, fragment and order of parameters.
 
-    Null for null, empty and blank addresses. What isn't of the form scheme://host... only loses blanks and fragment."""
+    Null for null, empty and blank addresses. What isn't of the form scheme://host... only loses blanks and fragment. Each part
+    is a column of its own, so that none is computed twice."""
     blank = r"[\s\u0085\u00a0\u1680\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff]+"
-    text = F.regexp_replace(url, f"^{blank}|{blank}$", "")
-    text = F.regexp_replace(text, r"(?s)#.*$", "")
     form = r"(?s)^([A-Za-z][A-Za-z0-9+.\-]*)://([^/?]*)([^?]*)(\?.*)?$"
-    parts = F.split(F.regexp_replace(text, form, "$1\n$2\n$3\n$4"), "\n")  # nothing of an address changes by a line feed in it but the parts
-    part = lambda k: F.coalesce(F.get(parts, k - 1), F.lit(""))
-    scheme = F.lower(part(1))
-    user = F.regexp_extract(part(2), r"^(.*@)?", 0)
-    host = F.lower(F.regexp_replace(part(2), r"^.*@", ""))
-    port = F.when(scheme == "http", r":(?:80)?$").when(scheme == "https", r":(?:443)?$").otherwise(r":$")
+    part = lambda k: F.coalesce(F.get("_parts", k - 1), F.lit(""))
     query = F.array_join(F.array_sort(F.split(F.substring(part(4), 2, 1_000_000_000), "&")), "&")
-    whole = F.concat(scheme, F.lit("://"), user, F.regexp_replace(host, port, F.lit("")), part(3), F.when(part(4) != "", F.concat(F.lit("?"), query)).otherwise(""))
-    return F.when(text == "", None).otherwise(F.when(F.regexp_like(text, F.lit(form)), whole).otherwise(text))
+    host = F.lower(F.regexp_replace(part(2), r"^.*@", ""))
+    port = F.when(F.col("_scheme") == "http", r":(?:80)?$").when(F.col("_scheme") == "https", r":(?:443)?$").otherwise(r":$")
+    return (
+        rows.withColumn("_text", F.regexp_replace(F.regexp_replace(url, f"^{blank}|{blank}$", ""), r"(?s)#.*$", ""))
+        .withColumn("_parts", F.split(F.regexp_replace("_text", form, "\u0002\u0001$1\u0001$2\u0001$3\u0001$4"), "\u0001"))  # the mark is there if the form is
+        .withColumn("_formed", F.get("_parts", 0) == "\u0002")
+        .withColumn("_parts", F.slice("_parts", 2, 1_000_000))
+        .withColumn("_scheme", F.lower(part(1)))
+        .withColumn("_place", F.concat(F.regexp_extract(part(2), r"^(.*@)?", 0), F.regexp_replace(host, port, F.lit(""))))
+        .withColumn("_query", F.when(part(4) != "", F.concat(F.lit("?"), query)).otherwise(""))
+        .withColumn(name, F.when(F.col("_text") == "", None).otherwise(F.when(F.col("_formed"), F.concat("_scheme", F.lit("://"), "_place", part(3), "_query")).otherwise(F.col("_text"))))
+        .drop("_text", "_parts", "_formed", "_scheme", "_place", "_query")
+    )
 
 
 class Ledger:

@@ -63,7 +63,7 @@ def p4_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _keyed_urls(pages: DataFrame) -> DataFrame:
-    return pages.select("loaded", F.col("page_id").alias("id"), F.concat(F.lit("url:"), canonical.canonical_url(F.col("url"))).alias("key"))
+    return canonical.with_canonical_url(pages, "url", "place").select("loaded", F.col("page_id").alias("id"), F.concat(F.lit("url:"), "place").alias("key"))
 
 
 def _copies(rows: DataFrame) -> DataFrame:
@@ -77,9 +77,9 @@ def _copies(rows: DataFrame) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    judged = sitetree.judge_pages(_table(spark, sf_dir, "pages"), keys=True)
+    judged = canonical.with_canonical_url(sitetree.judge_pages(_table(spark, sf_dir, "pages"), keys=True), "url", "place")
     content = F.concat(F.lit("content:"), F.when(~F.col("residual") & ~F.col("stuffed"), F.col("visible")))
-    url = F.concat(F.lit("url:"), canonical.canonical_url(F.col("url")))
+    url = F.concat(F.lit("url:"), "place")
     return _copies(judged.select("loaded", F.col("page_id").alias("id"), F.explode(F.array(content, url)).alias("key")))
 
 

@@ -327,14 +327,16 @@ def verdict(page: list[Facts], known: Known = NOTHING, url: str | None = None, s
     page = with_evidence(page, known, url)
     low = [i in known.low and not f.residue for i, f in enumerate(page)]
     text = bool(page) and page[-1].block.path == "text"
-    main = _main_text(page, low) if text else _main_markup(page, low, known)
+    branches = {} if text else _branches(page)
+    main = _main_text(page, low) if text else _main_markup(page, low, known, branches)
     lines = sorted({n for i in main for n in page[i].block.lines})
-    body = _body(page, low, known, text, main)
-    residue = sum(page[i].words for i in body if 2 * page[i].residue > page[i].words and not _top_heading(page, body, i))
+    body = _body(page, low, known, text, main, branches)
+    tops = _top_headings(page, body)
+    residue = sum(page[i].words for i in body if 2 * page[i].residue > page[i].words and i not in tops)
     rest: list[Facts] = []
     for i in body:
         f = page[i]
-        if 2 * f.residue > f.words or _top_heading(page, body, i):
+        if 2 * f.residue > f.words or i in tops:
             continue
         # beside residue only what may be the article counts, not loose labels and lists of links
         if not residue or f.kind & PROSE or f.kind & HEAP and f.block.tag not in COLUMNS or not f.kind & LINKS and f.words >= 12 and f.block.tag not in (*COLUMNS, "li"):
@@ -343,12 +345,15 @@ def verdict(page: list[Facts], known: Known = NOTHING, url: str | None = None, s
     return Verdict(lines, "\n".join(page[i].block.text for i in main), residue, other, [] if not stuffing else chunks([(f.block.text, f.words, bool(f.kind & PROSE), bool(f.kind & (HEAP | LINKS)) or f.words < 8 or f.block.tag in COLUMNS) for f in rest]))
 
 
-def _top_heading(page: list[Facts], body: list[int], i: int) -> bool:
-    """Whether block i is the body's first heading; without markup, a first short line."""
-    first = body[0]
-    if page[i].block.tag == "h":
-        return i == next(k for k in body if page[k].block.tag == "h")
-    return page[i].block.path == "text" and i == first and len(body) > 1 and page[i].words <= 10 and not page[i].residue and not page[i].kind & (PROSE | HEAP)
+def _top_headings(page: list[Facts], body: list[int]) -> set[int]:
+    """The body's first heading; without markup, a first short line."""
+    if not body:
+        return set()
+    out = {next((k for k in body if page[k].block.tag == "h"), -1)}
+    f = page[body[0]]
+    if f.block.path == "text" and f.block.tag != "h" and len(body) > 1 and f.words <= 10 and not f.residue and not f.kind & (PROSE | HEAP):
+        out.add(body[0])
+    return out
 
 
 def _branches(page: list[Facts]) -> dict[int, list[int]]:
@@ -359,10 +364,9 @@ def _branches(page: list[Facts]) -> dict[int, list[int]]:
     return out
 
 
-def _main_markup(page: list[Facts], low: list[bool], known: Known) -> list[int]:
+def _main_markup(page: list[Facts], low: list[bool], known: Known, branches: dict[int, list[int]]) -> list[int]:
     """The branches whose nodes in the site tree are important. Where the tree says nothing, as of a site with few pages, and for an
     article in a place that others fill, a branch's own prose decides."""
-    branches = _branches(page)
     main: set[int] = set()
     paths: set[str] = set()
     open_: list[int] = []
@@ -458,7 +462,7 @@ def _reaches(page: list[Facts], low: list[bool], way: list[int], prose: int, bra
     return sum(not _listed(page[i].block) for i in way) <= loose
 
 
-def _body(page: list[Facts], low: list[bool], known: Known, text: bool, main_blocks: list[int]) -> list[int]:
+def _body(page: list[Facts], low: list[bool], known: Known, text: bool, main_blocks: list[int], branches: dict[int, list[int]]) -> list[int]:
     """The blocks on which residue and stuffing are judged: the branches that are the article's by style, by heading or by
     what they hold, whether or not that is prose."""
     if text:
@@ -471,7 +475,6 @@ def _body(page: list[Facts], low: list[bool], known: Known, text: bool, main_blo
                 heaps = lines
         starts = spoken + heaps
         return [i for i in range(min(starts), len(page)) if not low[i] and page[i].block.tag != "title"] if starts else []
-    branches = _branches(page)
     main = {page[i].block.branch for i in main_blocks}
     chosen: list[int] = []
     for k, members in branches.items():

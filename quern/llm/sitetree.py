@@ -116,11 +116,20 @@ def _judge(batches: Iterator[pa.RecordBatch], texts: bool = True, stuffing: bool
             rows: list[list] = [[] for _ in kinds]
             for page_id, tie, key, body, url, when, *seen in zip(*columns):
                 page = [Facts(Block(*f[:6]), *f[6:]) for f in marshal.loads(body)]
-                own = [e[1:] for e in zip(*seen) if e[0] == tie] if seen[0] else []
-                known = Known(
-                    frozenset(i for i, n in own if i < BRANCH_ROW and n & LOW), {i - BRANCH_ROW: n for i, n in own if BRANCH_ROW <= i < WORD_ROW},
-                    frozenset(i for i, n in own if i < BRANCH_ROW and n & ANSWERED), frozenset(i - WORD_ROW for i, _ in own if i >= WORD_ROW),
-                )
+                low, answers, fill, importance = set(), set(), set(), {}
+                for of, i, n in zip(*seen) if seen[0] else ():
+                    if of != tie:
+                        continue
+                    if i < BRANCH_ROW:
+                        if n & LOW:
+                            low.add(i)
+                        if n & ANSWERED:
+                            answers.add(i)
+                    elif i < WORD_ROW:
+                        importance[i - BRANCH_ROW] = n
+                    else:
+                        fill.add(i - WORD_ROW)
+                known = Known(frozenset(low), importance, frozenset(answers), frozenset(fill))
                 v = verdict(page, known, url, stuffing)
                 for column, value in zip(rows, (page_id, v.lines, v.text if texts else None, v.residue, v.other, [dict(zip(names, c)) for c in v.chunks], key, url, when)):
                     column.append(value)

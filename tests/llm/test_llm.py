@@ -65,7 +65,7 @@ def test_blocks_and_visible_text():
 
 def test_urls_and_ledger(spark):
     urls = spark.createDataFrame([(1, " HTTP://A.b:80/X?b=2&a=1#f "), (2, "http://a.b/X?a=1&b=2"), (3, "http://a.b/x?a=1&b=2"), (4, None), (5, " ")], "id long, url string")
-    rows = urls.select("id", canonical.canonical_url(F.col("url")).alias("key"))
+    rows = canonical.with_canonical_url(urls, "url", "key").select("id", "key")
     assert [r.key for r in rows.orderBy("id").collect()] == ["http://a.b/X?a=1&b=2"] * 2 + ["http://a.b/x?a=1&b=2", None, None]
     counts, ledger = canonical.duplicates_in(rows, [F.col("id") > 1, F.col("id") <= 1])
     assert {(r.copies, r.first_id) for r in counts.collect()} == {(2, 1), (1, 3)}
