@@ -36,7 +36,7 @@ WINDOW, STRIDE = 26, 13
 COSINE = 0.3
 SHARE, LEAST_RANK = 3, 64
 POWER = 2
-BLOCK, BLOCK_WORDS = 1_000, 200_000
+BLOCK, BLOCK_WORDS = 500, 30_000
 
 _WORD = re.compile(r"[^\W_]+")
 
@@ -210,60 +210,72 @@ def _block(rows: DataFrame, asked: dict[int, list[str]], idf: dict[str, float],
 
     latent = np.array([project(v) for v in passages])
     latent /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-9)
-    # which passages have a word, with what weight
-    lists: list[list[int]] = [[] for _ in ids]
-    weights: list[list[float]] = [[] for _ in ids]
-    times: list[list[int]] = [[] for _ in ids]
-    for j, (v, counts) in enumerate(zip(passages, tallies)):
-        length = math.sqrt(sum(x * x for x in v.values()))
-        for k, x in v.items():
-            lists[k].append(j)
-            weights[k].append(x / length)
-            times[k].append(counts[k])
-    inverted = [(np.array(a, np.int32), np.array(b, np.float32), np.array(c, np.int32)) for a, b, c in zip(lists, weights, times)]
-    shared = spark.sparkContext.broadcast((ids, {w: idf[w] for w in ids}, space, latent, np.array(owner), asked, inverted))
+    # weight of each word in each passage, a row a word: at most words x passages of a block
+    table = np.zeros((len(ids), len(passages)), np.float32)
+    times = np.zeros((len(ids), len(passages)), np.uint8)
+    for j, (v, tally) in enumerate(zip(passages, tallies)):
+        k, x = np.fromiter(v, int, len(v)), np.fromiter(v.values(), np.float32, len(v))
+        table[k, j] = x / max(1e-9, float(np.linalg.norm(x)))
+        times[k, j] = [tally[i] for i in k]
+    weights = np.array([idf[w] for w in ids], np.float32)
+    shared = spark.sparkContext.broadcast((ids, weights, space, latent, np.array(owner), asked, table, times))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, idf, space, latent, owner, asked, inverted = shared.value
+        ids, weights, space, latent, owner, asked, table, times = shared.value
         kinds = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("cosine", pa.float64()), ("run", pa.int32()), ("subsequence", pa.float64())])
         for batch in batches:
             out: list[list] = [[] for _ in kinds]
             for text, doc in zip(*(batch.column(k).to_pylist() for k in range(2))):
                 ws = words(text)
-                if len(ws) < RUN or ids.keys().isdisjoint(ws):
+                if len(ws) < RUN:
                     continue
                 best: dict[int, list] = {}
-                for at in windows(len(ws)):
-                    part = ws[at : at + WINDOW]
-                    v = _vector(part, ids, idf)
-                    if not v:
-                        continue
-                    k = np.fromiter(v, int, len(v))
-                    values = np.fromiter(v.values(), np.float32, len(v))
-                    length = max(1e-9, float(np.linalg.norm(values)))
-                    held = [inverted[i] for i in k]
-                    who = np.concatenate([a for a, _, _ in held])
-                    like = np.bincount(who, np.concatenate([x * b for x, (_, b, _) in zip(values, held)]))
-                    tally = Counter(part)
-                    common = np.bincount(who, np.concatenate([np.minimum(c, tally[w]) for w, (_, _, c) in zip((w for w in tally if w in ids), held)]))
-                    near = np.nonzero((like >= COSINE * length) | (common >= RUN))[0]
-                    if not len(near):
-                        continue
-                    z = values @ space[k]
-                    # against the whole vector's length: what the latent space doesn't hold counts as unlike
-                    cosines = latent[near] @ z / length
-                    for at_near in np.nonzero((cosines >= COSINE) | (common[near] >= RUN))[0]:
-                        j = near[at_near]
-                        item = int(owner[j])
-                        b = best.setdefault(item, [0.0, 0, 0.0])
-                        b[0] = max(b[0], float(cosines[at_near]))
-                        # the passage with a run's length on either side, so that the run is measured whole
-                        around = ws[max(0, at - RUN) : at + WINDOW + RUN]
-                        b[1] = max(b[1], longest_run(around, asked[item]))
-                        b[2] = max(b[2], longest_subsequence(around, asked[item]) / len(asked[item]))
+                for item, around, cosine in _near(ws, ids, weights, space, latent, owner, table, times):
+                    b = best.setdefault(item, [0.0, 0, 0.0])
+                    b[0] = max(b[0], cosine)
+                    b[1] = max(b[1], longest_run(around, asked[item]))
+                    b[2] = max(b[2], longest_subsequence(around, asked[item]) / len(asked[item]))
                 for item, b in best.items():
                     for column, value in zip(out, (doc, item, *b)):
                         column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(c, kind.type) for c, kind in zip(out, kinds)], schema=kinds)
 
     return rows.mapInArrow(search, schema)
+
+
+#: Passages of a document that are compared at once.
+AT_ONCE = 256
+
+
+def _near(ws: list[str], ids: dict[str, int], weights: np.ndarray, space: np.ndarray, latent: np.ndarray, owner: np.ndarray, table: np.ndarray, times: np.ndarray) -> Iterator[tuple[int, list[str], float]]:
+    """(item, words, cosine) of a document's passages, with a run's length on either side so that a run is measured whole, and the items
+    they are near."""
+    every = np.array([ids.get(w, -1) for w in ws])
+    starts = windows(len(ws))
+    for first in range(0, len(starts), AT_ONCE):
+        part = starts[first : first + AT_ONCE]
+        begin, end = part[0], part[-1] + WINDOW
+        inside = every[begin:end]
+        known, place = np.unique(inside[inside >= 0], return_inverse=True)
+        if not len(known):
+            continue
+        where = np.full(len(inside), -1)
+        where[inside >= 0] = place
+        counts = np.zeros((len(known), len(part)), np.float32)
+        for j, at in enumerate(part):
+            w = where[at - begin : at - begin + WINDOW]
+            counts[:, j] = np.bincount(w[w >= 0], minlength=len(known))
+        v = np.where(counts > 0, 1 + np.log(np.maximum(counts, 1)), 0).astype(np.float32) * weights[known][:, None]
+        length = np.maximum(np.linalg.norm(v, axis=0), 1e-9)
+        rows = table[known]
+        # a passage's words that an item's passage has, as often as they come: no fewer than they have in common; that is counted next
+        near, at_part = np.nonzero((rows.T @ v >= COSINE * length) | ((rows > 0).astype(np.float32).T @ counts >= RUN))
+        if not len(near):
+            continue
+        many = np.minimum(counts[:, at_part], times[known][:, near]).sum(axis=0) >= RUN
+        # against the whole vector's length: what the latent space doesn't hold counts as unlike
+        z = space[known].T @ v
+        cosines = np.einsum("ij,ji->i", latent[near], z[:, at_part]) / length[at_part]
+        for i in np.nonzero((cosines >= COSINE) | many)[0]:
+            at = part[at_part[i]]
+            yield int(owner[near[i]]), ws[max(0, at - RUN) : at + WINDOW + RUN], float(cosines[i])
