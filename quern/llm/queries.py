@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..storage import written
+from ..storage import bucketed, written
 from . import canonical, distinctive, langid, leakage, neardup, packing, sitetree
 
 
@@ -43,7 +43,7 @@ SHINGLE, ALIKE, ENTRIES = 3, 0.6, 4
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = sitetree.judge_pages(_table(spark, sf_dir, "pages"), texts=True, keys=True)
     articles = judged.where("not residual and not stuffed and size(lines) > 0").select(F.col("page_id").alias("id"), "text", F.xxhash64("visible").alias("tag"))
-    sets = written(neardup.word_sets(articles, SHINGLE), "articles")
+    sets = bucketed(neardup.word_sets(articles, SHINGLE), "articles", "id")  # joined by id again and again, moved once
     pairs = neardup.expand(*neardup.near_duplicates(sets, ALIKE))
     pages = (
         pairs.join(sets.select(F.col("id").alias("id_a"), F.col("tag").alias("tag_a")), "id_a")

@@ -16,7 +16,7 @@ from __future__ import annotations
 import re
 import zlib
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 CHUNK = 700
@@ -68,33 +68,44 @@ def chunks(body: list[tuple[str, int, bool, bool]]) -> list[tuple[int, int, int,
     return out
 
 
+def _size(chars: Column) -> Column:
+    """The doubling of length that a chunk is in."""
+    return F.least(F.lit(23), F.floor(F.log2(F.greatest(chars, F.lit(1))))).cast("int")
+
+
 def flag_stuffed(judged: DataFrame) -> DataFrame:
     """Adds ``stuffed_words`` and ``stuffed`` to rows with ``residue``, ``other`` and ``chunks``; null where there is no chunk.
 
-    The baseline has at most (languages + 1) x 24 rows, so it is broadcast.
+    The baseline has at most (languages + 1) x 24 rows, so it is broadcast as one map, and each row is told where it lies: its texts
+    aren't moved.
     """
-    chunk = (
-        judged.select("page_id", F.explode("chunks").alias("c"))
-        .select("page_id", "c.*")
-        .withColumn("size", F.least(F.lit(23), F.floor(F.log2(F.greatest(F.col("chars"), F.lit(1))))).cast("int"))
-    )
     usual = (
-        chunk.where(F.col("heaped") * 2 <= F.col("words"))
-        .groupBy("lang", "size")
-        .agg(F.percentile_approx("ratio", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 1000).alias("q"), F.percentile_approx("ends", 0.5, 1000).alias("usual_ends"), F.count("*").alias("n"))
+        judged.select(F.explode("chunks").alias("c"))
+        .select("c.*")
+        .where(F.col("heaped") * 2 <= F.col("words"))
+        .groupBy("lang", _size(F.col("chars")).alias("size"))
+        .agg(F.percentile_approx("ratio", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 1000).alias("q"), F.percentile_approx("ends", 0.5, 1000).alias("ends"), F.count("*").alias("n"))
+        .agg(F.map_from_entries(F.collect_list(F.struct(F.struct("lang", "size"), F.struct("q", "ends", "n")))).alias("usual"))
     )
-    spread = F.greatest(F.col("q")[2] - F.col("q")[0], F.lit(0.03))
-    far = (F.col("q")[1] - F.col("ratio")) / spread
-    # a language or length seen too seldom is measured by a rule of thumb: prose of n characters gives about 3.2 / n ** 0.28 - less spread
-    thumb = (F.lit(3.6) / F.pow(F.greatest(F.col("chars"), F.lit(1)).cast("double"), F.lit(0.28)) - F.col("ratio")) / F.lit(0.06)
-    lies = F.when(F.col("n") >= 20, far).otherwise(thumb)
-    few_ends = F.col("ends") < 0.5 * F.coalesce(F.col("usual_ends"), F.lit(0.08))
-    redundant = (F.col("chars") >= LEAST) & ((lies > SPREADS) & few_ends | (lies > 2 * SPREADS))
-    stuffed = (
-        chunk.join(F.broadcast(usual), ["lang", "size"], "left")
-        .groupBy("page_id")
-        .agg(F.sum(F.when(redundant, F.col("words")).otherwise(F.col("heaped"))).cast("int").alias("stuffed_words"))
-    )
-    return judged.join(stuffed, "page_id", "left").withColumn(
-        "stuffed", F.coalesce((F.col("stuffed_words") * 2 > F.col("residue") + F.col("other")) & (F.col("stuffed_words") >= 12), F.lit(False)) & ~F.col("residual")
+
+    def stuffed_words(c: Column) -> Column:
+        u = c["u"]
+        spread = F.greatest(u["q"][2] - u["q"][0], F.lit(0.03))
+        far = (u["q"][1] - c["ratio"]) / spread
+        # a language or length seen too seldom is measured by a rule of thumb: prose of n characters gives about 3.2 / n ** 0.28 - less spread
+        thumb = (F.lit(3.6) / F.pow(F.greatest(c["chars"], F.lit(1)).cast("double"), F.lit(0.28)) - c["ratio"]) / F.lit(0.06)
+        lies = F.when(u["n"] >= 20, far).otherwise(thumb)
+        few_ends = c["ends"] < 0.5 * F.coalesce(u["ends"], F.lit(0.08))
+        redundant = (c["chars"] >= LEAST) & ((lies > SPREADS) & few_ends | (lies > 2 * SPREADS))
+        return F.when(redundant, c["words"]).otherwise(c["heaped"])
+
+    names = ("chars", "words", "heaped", "ratio", "ends")
+    known = F.transform("chunks", lambda c: F.struct(*(c[x].alias(x) for x in names), F.try_element_at("usual", F.struct(c["lang"].alias("lang"), _size(c["chars"]).alias("size"))).alias("u")))
+    total = F.aggregate(known, F.lit(0).cast("long"), lambda n, c: n + stuffed_words(c)).cast("int")
+    return (
+        judged.crossJoin(F.broadcast(usual))
+        .withColumn("stuffed_words", F.when(F.size("chunks") > 0, total))
+        .drop("usual")
+        # more than half of the words, and 12 at least: one comparison, as the sum is computed for each
+        .withColumn("stuffed", ~F.col("residual") & F.coalesce(F.col("stuffed_words") > F.greatest(F.shiftright(F.col("residue") + F.col("other"), 1), F.lit(11)), F.lit(False)))
     )

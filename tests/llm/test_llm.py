@@ -5,9 +5,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quern.llm import canonical, distinctive, langid, leakage, neardup, packing, siteblocks, sitetree
+from quern.llm import canonical, distinctive, langid, leakage, neardup, packing, queries, siteblocks, sitetree, stuffing
 from quern.llm.pagetext import blocks
 from quern.llm.residue import residue_words
+from quern.storage import bucketed
 
 PAGES = "page_id long, url string, content string, html string, loaded_at timestamp, lines int"
 SENTENCES = [f"The keeper of number {n} wrote that the {a} {b} was moved to the old hall before the rain came again." for n, (a, b) in enumerate(combinations("lamp mill ferry clock pump garden shelf loom kiln depot".split(), 2))]
@@ -89,6 +90,24 @@ def test_near_duplicates_equal_brute_force(spark):
     assert crowded == got == {(a, b) for a, b in combinations(sorted(sets), 2) if sets[a] and len(sets[a] & sets[b]) >= 0.7 * len(sets[a] | sets[b])}
 
 
+def test_sets_in_buckets_are_not_moved_by_joins(spark, monkeypatch):
+    """Neither the representatives nor the verification moves the sets that p4_found writes."""
+    plans = []
+    monkeypatch.setattr(queries, "bucketed", lambda *x: plans.append(bucketed(*x)) or plans[-1])
+    monkeypatch.setattr(queries, "_table", lambda s, _, name: s.createDataFrame([_page(k) for k in range(8)], PAGES) if name == "pages" else s.createDataFrame([], "doc_id long, built_at timestamp, dup_urls array<string>"))
+    assert queries.p4_found(spark, "").count() == 0
+    sets = plans[0]
+    assert {r.id for r in sets.collect()} == set(range(8)) and not [t for t in spark.catalog.listTables() if t.name.startswith("quern_")]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        reps, _ = neardup.representatives(sets)
+        assert reps.count() == 8
+        plan = reps._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "Bucketed: true" in plan and plan.count("Exchange hashpartitioning(id") == 1  # of the ids kept, not of the sets
+
+
 def test_short_near_duplicates_are_all_found(spark):
     rng = random.Random(6)
     sets = {k: sorted(rng.sample(range(30), rng.randrange(1, 9))) for k in range(400)}
@@ -221,6 +240,26 @@ def test_filler_of_many_hosts_is_residue(spark):
     assert {k for k, v in found.items() if v[0]} == set(range(100, 108)) and not any(v[1] for v in found.values())
 
 
+def test_stuffed_pages_are_told_without_moving_their_texts(spark):
+    usual = [(k, "t", 0, 200, [(700, 100, 0, 0.5, 0.06, "en")], False) for k in range(30)]
+    rows = [
+        (40, "t", 0, 100, [(700, 100, 0, 0.2, 0.01, "en")], False),  # far under the baseline, few sentence ends
+        (41, "t", 0, 100, [(700, 100, 0, 0.38, 0.06, "en")], False),  # under it, but with the usual ends
+        (42, "t", 0, 100, [(700, 60, 0, 0.2, 0.01, "en"), (300, 40, 0, 0.6, 0.08, "en")], False),
+        (43, "t", 0, 100, [(700, 100, 0, 0.1, 0.01, "xx")], False),  # a language seen once: by the rule of thumb
+        (44, "t", 0, 100, [(60, 100, 80, 0.9, 0.0, "")], False),  # a list
+        (45, "t", 90, 100, [(700, 100, 0, 0.2, 0.01, "en")], True),
+        (46, None, 0, 0, [], False), (47, None, 0, 0, None, False), (None, "t", 0, 100, [(60, 100, 80, 0.9, 0.0, "")], False),
+    ]
+    judged = spark.createDataFrame(usual + rows, f"page_id long, text string, residue int, other int, chunks {stuffing.CHUNK_TYPE}, residual boolean").repartition(3)
+    flagged = stuffing.flag_stuffed(judged.cache())
+    found = {r.page_id: (r.stuffed_words, r.stuffed) for r in flagged.collect()}
+    assert len(found) == 39 and all(found[k] == (0, False) for k in range(30))
+    assert [found[k] for k in range(40, 48)] == [(100, True), (0, False), (60, True), (100, True), (80, True), (100, False), (None, False), (None, False)]
+    assert flagged.columns == [*judged.columns, "stuffed_words", "stuffed"]
+    assert "hashpartitioning(page_id" not in flagged._jdf.queryExecution().executedPlan().toString()
+
+
 def test_important_nodes_are_told_by_entropy(spark):
     """Menus and footers of a language that no list of words holds go by what the site's tree says."""
     rng = random.Random(9)
