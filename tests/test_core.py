@@ -87,6 +87,26 @@ def test_canonical_map_is_the_sequential_scan(spark):
     assert {r.doc_id: r.canonical_id for r in got.collect()} == expected
 
 
+def test_canonical_map_lists_no_pairs_of_a_crowd(spark, monkeypatch):
+    """A crowd of fingerprints that are all near the first costs about a pair each, and blocks give what the sequential scan gives."""
+    rng = random.Random(5)
+    crowd = [0, *rng.sample([sum(1 << 4 * i + k for k in rng.sample(range(4), 1)) << 32 for i in range(8) for _ in range(40)], 32)]
+    fps = list(dict.fromkeys([0, *(sum(1 << b for b in rng.sample(range(16, 64), 2)) for _ in range(400)), *crowd]))
+    pairs, plain = [], dedup.written
+
+    def counted(df, name):
+        found = plain(df, name)
+        if name == "edges":
+            pairs.append(found.count())
+        return found
+
+    monkeypatch.setattr(dedup, "written", counted)
+    monkeypatch.setattr(dedup, "FIRST_BLOCK", 16, raising=False)
+    got = dedup.canonical_map(spark.createDataFrame([(i, x - (1 << 64) if x >> 63 else x) for i, x in enumerate(fps, 1)], "doc_id long, fp long"))
+    assert {r.canonical_id for r in got.collect()} == {1} and got.count() == len(fps)
+    assert sum(pairs) < 3 * len(fps)
+
+
 def test_golden_search(spark):
     docs = spark.createDataFrame([(1, "apple banana apple", "u1"), (2, "banana cherry", None), (3, "cherry date", "u3")], "doc_id long, text string, url string")
     index = build_index(texts_as_pages(docs), EngineConfig(stem=False))
