@@ -101,7 +101,7 @@ def test_canonical_map_lists_no_pairs_of_a_crowd(spark, monkeypatch):
         return found
 
     monkeypatch.setattr(dedup, "written", counted)
-    monkeypatch.setattr(dedup, "FIRST_BLOCK", 16, raising=False)
+    monkeypatch.setattr(dedup, "FIRST_BLOCK", 128, raising=False)
     got = dedup.canonical_map(spark.createDataFrame([(i, x - (1 << 64) if x >> 63 else x) for i, x in enumerate(fps, 1)], "doc_id long, fp long"))
     assert {r.canonical_id for r in got.collect()} == {1} and got.count() == len(fps)
     assert sum(pairs) < 3 * len(fps)
@@ -211,3 +211,69 @@ def test_no_limits(spark):
     docs = spark.createDataFrame([(k, f"apple banana w{k}" if k % 2 else f"cherry w{k}", f"u{k}") for k in range(40)], "doc_id long, text string, url string")
     index = build_index(texts_as_pages(docs), EngineConfig(stem=False, phrase_docs=None, max_candidates=None, max_hamming=0))
     assert {r.candidates for r in index.search("apple banana").collect()} == {20}
+
+
+def test_ranked_search_looks_at_all_candidates(spark, tmp_path):
+    """More documents than the engine's usual limit of 5,000 have the query's phrase; all are candidates."""
+    from quern import queries
+
+    rows = [(100, "apple banana", "u")] + [(100 * k + 1, f"w{k} apple banana", "u") for k in range(5200)] + [(100 * k + 2, "cherry", "u") for k in range(50)]
+    spark.createDataFrame(rows, "doc_id long, text string, url string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = queries.search_ranked(spark, str(tmp_path)).collect()
+    assert {r.candidates for r in found} == {5201} and [(r["rank"], r.doc_id) for r in found][0] == (1, 100) and len(found) == 10
+
+
+def _texts(spark):
+    rng = random.Random(8)
+    words = ["a", "a", "a", "the", "the", *(f"w{k}" for k in range(30))]
+    docs = {k: [rng.choice(words) for _ in range(rng.randrange(0, 15))] for k in range(1200)}
+    asked = {**{k: docs[k] for k in range(0, 1200, 50)}, 5001: ["the", "a"], 5002: ["none", "a"], 5003: ["a", "a", "a"], 5004: []}
+    return docs, asked, *(spark.createDataFrame(list(x.items()), f"{name} long, terms array<string>") for x, name in ((docs, "doc_id"), (asked, "query_id")))
+
+
+@pytest.mark.parametrize("one_block", [True, False])
+@pytest.mark.parametrize("name", ["boolean_and", "boolean_or", "phrase_hits"])
+def test_pairs_of_queries_and_documents_are_not_moved(spark, monkeypatch, name, one_block):
+    from quern.operators import search
+
+    docs, asked, doc_rows, query_rows = _texts(spark)
+    if not one_block:
+        from quern.operators import blocks
+
+        monkeypatch.setattr(blocks, "BLOCK_QUERIES", 9)
+    follows = lambda q, d: sum(1 for pair in zip(q, q[1:]) for other in zip(d, d[1:]) if pair == other)
+    expected = {
+        "boolean_and": lambda: {(q, d) for q, ts in asked.items() for d, ws in docs.items() if ts and set(ts) <= set(ws)},
+        "boolean_or": lambda: {(q, d) for q, ts in asked.items() for d, ws in docs.items() if set(ts) & set(ws)},
+        "phrase_hits": lambda: {(q, d, n) for q, ts in asked.items() for d, ws in docs.items() if (n := follows(ts, ws))},
+    }[name]()
+    found = getattr(search, name)(query_rows, doc_rows)
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    got = [tuple(r) for r in found.collect()]
+    assert len(got) == len(set(got)) and set(got) == expected
+
+
+def test_limited_search_gives_few_rows_beyond_its_limits(spark):
+    """Of 1,200 documents only those that the limits can reach leave the workers, and short of limits all candidates are the same."""
+    from quern.operators import blocks, search
+
+    docs, _, doc_rows, query_rows = _texts(spark)
+    index = build_index(texts_as_pages(doc_rows.select("doc_id", doc_rows.terms.cast("string").alias("text"), doc_rows.terms.cast("string").alias("url"))), EngineConfig(stem=False, max_hamming=0))
+    seen, plain = [], blocks.over
+
+    def counted(docs, asked, schema, work):
+        found = plain(docs, asked, schema, work)
+        if "all_terms" in schema:
+            seen.append(found.count())
+        return found
+
+    blocks.over = counted
+    try:
+        rows = search.scored_candidates(query_rows, index.tables(), EngineConfig(stem=False, min_results=3, phrase_docs=20, max_candidates=7)).collect()
+    finally:
+        blocks.over = plain
+    assert rows and max(r.candidates for r in rows) == 7 and sum(seen) < 27 * 150
+    every = EngineConfig(stem=False, phrase_docs=None, max_candidates=None)
+    one = search.ranked(search.scored_candidates(query_rows, index.tables(), every), index.docinfo, 10)
+    two = search.ranked_all(query_rows, index.tables(), every, 10)
+    assert sorted(map(tuple, one.collect())) == sorted(map(tuple, two.collect()))
